@@ -200,7 +200,7 @@ def packed_cells(df: DataFrame, field: str, id_col: str, cell_col: str) -> DataF
 
 _STATS = "field_name string, kind string, value string, w double"
 _CANDIDATES = "field_name string, cell string, choice int, n int, dialect string, item string, shape string"
-_ITEMS = "field_name string, rec_id long, pos int, item string, n_items int"
+_ITEMS = "field_name string, rec_id long, items array<string>"
 
 
 def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,9 +232,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for field, rec, cell, choice in zip(b["field_name"], b["rec_id"], b["cell"], b["choice"], strict=True):
             options = parses(cell, RULES[field])
             if options:
-                values = options[int(choice)][1]
-                rows += [(field, rec, k, v, len(values)) for k, v in enumerate(values, 1)]
-        yield pd.DataFrame(rows, columns=["field_name", "rec_id", "pos", "item", "n_items"])
+                rows.append((field, rec, list(options[int(choice)][1])))
+        yield pd.DataFrame(rows, columns=["field_name", "rec_id", "items"])
 
 
 def _packed() -> Column:
@@ -262,14 +261,22 @@ def cheapest_dialects(cells: DataFrame) -> DataFrame:
     return parsed.groupBy("field_name", "cell").agg(F.min_by(F.struct("choice", "dialect", "bits"), F.struct("bits", "choice")).alias("best")).select("field_name", "cell", "best.*")
 
 
-def split_packed(cells: DataFrame) -> DataFrame:
-    """Every value of every cell: (field_name, rec_id, pos, item, n_items).
+def split_cells(cells: DataFrame) -> DataFrame:
+    """The values of every cell that has any: (field_name, rec_id, items), one row per cell.
 
-    ``cells`` is a union of :func:`packed_cells`. ``n_items`` is the number of values of the cell,
-    so that cells with one value can be told apart.
+    ``cells`` is a union of :func:`packed_cells`.
     """
     best = cheapest_dialects(cells).select("field_name", "cell", "choice")
     packed = cells.where(_packed()).join(best, ["field_name", "cell"], "left").withColumn("choice", F.coalesce("choice", F.lit(0)))
     plain = cells.where(~_packed()).withColumn("choice", F.lit(0))
     columns = ["field_name", "rec_id", "cell", "choice"]
     return packed.select(columns).unionByName(plain.select(columns)).mapInPandas(_parse, _ITEMS)
+
+
+def split_packed(cells: DataFrame) -> DataFrame:
+    """Every value of every cell: (field_name, rec_id, pos, item, n_items).
+
+    ``n_items`` is the number of values of the cell, so that cells with one value can be told apart.
+    """
+    split = split_cells(cells)
+    return split.select("field_name", "rec_id", F.posexplode("items").alias("at", "item"), F.size("items").alias("n_items")).select("field_name", "rec_id", (F.col("at") + 1).alias("pos"), "item", "n_items")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dialects import packed_cells, split_packed
+from ..operators.dialects import packed_cells, split_cells, split_packed
 from ..session import table
 
 # field_name: table, id column, cell column
@@ -19,10 +19,20 @@ PACKED_FIELDS = {
 }
 
 
+def packed_fields(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """The cells of the named fields (all four by default) that are not missing."""
+    cells = [packed_cells(table(spark, sf_dir, t), f, i, c) for f, (t, i, c) in PACKED_FIELDS.items() if not fields or f in fields]
+    return reduce(DataFrame.unionByName, cells)
+
+
+def packed_lists(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """One row per cell, as ``split_cells`` gives it."""
+    return split_cells(packed_fields(spark, sf_dir, *fields))
+
+
 def packed_values(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """The values of the named fields (all four by default), as ``split_packed`` gives them."""
-    cells = [packed_cells(table(spark, sf_dir, t), f, i, c) for f, (t, i, c) in PACKED_FIELDS.items() if not fields or f in fields]
-    return split_packed(reduce(DataFrame.unionByName, cells))
+    return split_packed(packed_fields(spark, sf_dir, *fields))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
