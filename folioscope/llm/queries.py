@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, spans, tokens
+from ..plans.packed import PACKED_FIELDS, packed_lists
+from . import canonical, containers, spans, terms, tokens
+
+
+CANONICAL_FIELDS = ["role_in_paper", "task_family", "domain", "language_coverage"]
+TERM_FIELDS = ["targeted_capability", "categories"]
+
+
+def _mapped(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    cells = canonical.typed_cells(table(spark, sf_dir, "enriched_metadata"), "meta_id", CANONICAL_FIELDS)
+    return canonical.map_values(cells, table(spark, sf_dir, "canonical_values"), exact)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry meant by every cell that is not written as the list has it."""
+    return _mapped(spark, sf_dir, False).select(F.col("rec_id").alias("meta_id"), "field_name", "canon_id")
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that mean no entry, with their number of cells."""
+    return _mapped(spark, sf_dir, False).where("canon_id = 0").groupBy("field_name", "value").agg(F.count("*").alias("n_cells"))
+
+
+def _keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "openreview_papers").select(F.lit("keywords").alias("field_name"), F.col("keywords").alias("items"))
+
+
+def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences, rows and mark of every term of the three fields."""
+    lists = packed_lists(spark, sf_dir, *TERM_FIELDS).select("field_name", "items").unionByName(_keyword_lists(spark, sf_dir))
+    sources = {f: PACKED_FIELDS[f][0] for f in TERM_FIELDS} | {"keywords": "openreview_papers"}
+    totals = reduce(DataFrame.unionByName, [table(spark, sf_dir, t).agg(F.lit(f).alias("field_name"), F.count("*").alias("rows")) for f, t in sources.items()])
+    return terms.marked_terms(terms.term_counts(lists), totals)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms too rare or too common to be useful."""
+    return p2_terms(spark, sf_dir).where("mark IS NOT NULL").select("field_name", "term", "mark")
+
+
+def p2_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the keywords alone, whose cells need no splitting."""
+    return terms.term_counts(_keyword_lists(spark, sf_dir))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +81,13 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("shared_chars", zero).alias("shared_chars"), F.coalesce("repeated_chars", zero).alias("repeated_chars"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p2_keywords": r"""
+        SELECT 'keywords' AS field_name, term, count(*)::BIGINT AS occurrences, count(DISTINCT rec)::BIGINT AS records
+        FROM (SELECT rec, lower(trim(regexp_replace(k, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]+', ' ', 'g'))) AS term
+              FROM (SELECT row_number() OVER () AS rec, keywords FROM openreview_papers), unnest(keywords) AS u(k))
+        WHERE term <> ''
+        GROUP BY term""",
+}
