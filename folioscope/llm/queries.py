@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..plans.packed import PACKED_FIELDS, packed_lists
-from . import canonical, containers, spans, terms, tokens
+from . import canonical, containers, history, spans, terms, tokens
 
 
 CANONICAL_FIELDS = ["role_in_paper", "task_family", "domain", "language_coverage"]
@@ -53,6 +53,16 @@ def p2_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_counts(_keyword_lists(spark, sf_dir))
 
 
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "arxiv_results").select("row_id", "batch_no", F.col("arXiv ID").alias("paper_id"), F.col("Title").alias("title"))
+    return history.same_papers(rows)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each row of a paper that came before, the paper's first row."""
+    return history.duplicates(_papers(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by byte_bpe_50k."""
     return tokens.token_ids(table(spark, sf_dir, "documents"))
@@ -81,7 +91,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("shared_chars", zero).alias("shared_chars"), F.coalesce("repeated_chars", zero).alias("repeated_chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_keywords": r"""
