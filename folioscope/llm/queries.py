@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..plans.packed import PACKED_FIELDS, packed_lists
-from . import canonical, containers, history, spans, terms, tokens
+from ..functions.text import is_missing
+from . import canonical, containers, history, names, spans, terms, tokens
 
 
 CANONICAL_FIELDS = ["role_in_paper", "task_family", "domain", "language_coverage"]
@@ -63,6 +64,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.duplicates(_papers(spark, sf_dir))
 
 
+def _person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.distinct_names(packed_lists(spark, sf_dir, "authors").select(F.explode("items").alias("name")))
+
+
+def _body_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.col("Author Affiliations")
+    pieces = table(spark, sf_dir, "arxiv_results").where(~is_missing(cell)).select(F.explode(F.split(cell, "; ")).alias("piece"))
+    return names.distinct_names(pieces.where(F.col("piece").contains(": ")).select(F.expr("substring(piece, instr(piece, ': ') + 2)").alias("name")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of one person or body."""
+    persons = names.entity_pairs(names.person_entities(_person_names(spark, sf_dir)))
+    bodies = names.entity_pairs(names.body_entities(_body_names(spark, sf_dir)))
+    return persons.select(F.lit("person").alias("kind"), "*").unionByName(bodies.select(F.lit("body").alias("kind"), "*"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by byte_bpe_50k."""
     return tokens.token_ids(table(spark, sf_dir, "documents"))
@@ -91,7 +109,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("shared_chars", zero).alias("shared_chars"), F.coalesce("repeated_chars", zero).alias("repeated_chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_keywords": r"""
