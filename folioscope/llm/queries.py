@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from ..plans.packed import PACKED_FIELDS, packed_lists
 from ..functions.text import is_missing
-from . import canonical, containers, history, names, spans, terms, tokens
+from . import canonical, containers, history, linkage, names, spans, terms, tokens
 
 
 CANONICAL_FIELDS = ["role_in_paper", "task_family", "domain", "language_coverage"]
@@ -64,6 +64,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.duplicates(_papers(spark, sf_dir))
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate pair with its confidence."""
+    rows = table(spark, sf_dir, "arxiv_results").select("row_id", "batch_no", F.col("arXiv ID").alias("paper_id"), F.col("Title").alias("title"), F.col("Authors").alias("authors"), F.col("Abstract").alias("abstract"))
+    entities = table(spark, sf_dir, "openreview_papers").where("id IS NOT NULL").select(F.col("id").alias("entity"), "title", "authors", "abstract")
+    return linkage.link_sources(rows, entities).withColumnRenamed("entity", "paper_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs whose confidence accepts them."""
+    return p4_links(spark, sf_dir).where(F.col("confidence") >= linkage.MATCH).select("row_id", "paper_id")
+
+
 def _person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.distinct_names(packed_lists(spark, sf_dir, "authors").select(F.explode("items").alias("name")))
 
@@ -109,7 +121,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("shared_chars", zero).alias("shared_chars"), F.coalesce("repeated_chars", zero).alias("repeated_chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_keywords": r"""
