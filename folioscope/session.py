@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,3 +49,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver notice what it no longer needs: Spark deletes shuffle and checkpoint files of collected objects only."""
+    gc.collect()
+    spark._jvm.System.gc()
