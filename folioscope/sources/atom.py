@@ -33,8 +33,8 @@ def project_entries(entries: DataFrame) -> DataFrame:
     """The 14 columns of the raw paper record, plus ``_bad``: why an entry can't be taken, or null."""
     author, category, link = F.col("author"), F.col("category"), F.col("link")
     pdf = F.get(F.filter(link, lambda x: x._title == "pdf"), 0).getField("_href")
-    with_affiliation = F.filter(author, lambda a: a.affiliation.isNotNull())
-    nameless = F.exists(author, lambda a: a.affiliation.isNotNull() & a.name.isNull())
+    with_affiliation = F.filter(author, lambda a: a["affiliation"].isNotNull())
+    nameless = F.exists(author, lambda a: a["affiliation"].isNotNull() & a["name"].isNull())
     values = {
         "arXiv ID": last_piece(F.col("id"), "/abs/"),
         "arXiv URL": F.coalesce("id", F.lit("")),
@@ -43,8 +43,8 @@ def project_entries(entries: DataFrame) -> DataFrame:
         "Publication Date": iso_date(F.col("published")),
         "Updated Date": iso_date(F.col("updated")),
         "Title": clean_newlines(F.col("title")),
-        "Authors": _joined(F.transform(author, lambda a: a.name)),
-        "Author Affiliations": _joined(F.transform(with_affiliation, lambda a: F.concat(a.name, F.lit(": "), a.affiliation))),
+        "Authors": _joined(F.transform(author, lambda a: a["name"])),
+        "Author Affiliations": _joined(F.transform(with_affiliation, lambda a: F.concat(a["name"], F.lit(": "), a["affiliation"]))),
         "Abstract": clean_newlines(F.col("summary")),
         "Categories": _joined(F.transform(F.filter(category, lambda c: F.coalesce(c._term, F.lit("")) != ""), lambda c: c._term)),
         "Primary Category": F.coalesce(F.col("primary_category._term"), F.lit("")),

@@ -164,29 +164,41 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    """A page per trigger; the offset is the group and the place in it, so a restart goes on where it was."""
+    """``pagesPerTrigger`` pages a batch, all that are there by default; the offset is the group and the place
+    in it, so a restart goes on where it was."""
 
-    def __init__(self, pages: _Pages):
-        self.pages = pages
+    def __init__(self, pages: _Pages, most: int = 0):
+        self.pages, self.most = pages, most
 
     def initialOffset(self) -> dict:
         return {"group": 0, "start": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        g, at = start["group"], start["start"]
+    def _next(self, at: dict) -> tuple[tuple | None, dict]:
+        g, start = at["group"], at["start"]
         while g < len(self.pages.groups):
-            row = self.pages.page(self.pages.groups[g], at)
+            row = self.pages.page(self.pages.groups[g], start)
             if row:
                 done = self.pages.ends_after(row)
-                return iter([row]), {"group": g + 1, "start": 0} if done else {"group": g, "start": at + (row[3] if self.pages.feed else self.pages.size)}
-            g, at = g + 1, 0
-        return iter([]), {"group": g, "start": at}
+                return row, {"group": g + 1, "start": 0} if done else {"group": g, "start": start + (row[3] if self.pages.feed else self.pages.size)}
+            g, start = g + 1, 0
+        return None, {"group": g, "start": start}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, at = [], start
+        while not self.most or len(rows) < self.most:
+            row, at = self._next(at)
+            if row is None:
+                break
+            rows.append(row)
+        return iter(rows), at
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         at = start
         while (at["group"], at["start"]) < (end["group"], end["start"]):
-            rows, at = self.read(at)
-            yield from rows
+            row, at = self._next(at)
+            if row is None:
+                break
+            yield row
 
 
 class FeedPages(DataSource):
@@ -201,7 +213,7 @@ class FeedPages(DataSource):
         return _Reader(_Pages(self.options, True))
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Stream(_Pages(self.options, True))
+        return _Stream(_Pages(self.options, True), int(self.options.get("pagesPerTrigger", 0)))
 
 
 class NotePages(DataSource):
@@ -216,7 +228,7 @@ class NotePages(DataSource):
         return _Reader(_Pages(self.options, False))
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Stream(_Pages(self.options, False))
+        return _Stream(_Pages(self.options, False), int(self.options.get("pagesPerTrigger", 0)))
 
 
 def register(spark: SparkSession) -> None:
