@@ -17,17 +17,18 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     row per node, which adaptive execution splits when skewed. Each round is checkpointed reliably.
     """
     edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    # the number of rows and an order-free digest tell whether anything moved
+    digest = [F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)]
+    before = edges.agg(*digest).first()
+    for _ in range(rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        new = materialise(new)
-        # the number of rows and an order-free digest tell whether anything moved
-        digest = [F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)]
-        if new.agg(*digest).first() == edges.agg(*digest).first():
+        edges = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct())
+        after = edges.agg(*digest).first()
+        if after == before:
             break
-        edges = new
+        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
