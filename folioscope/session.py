@@ -30,10 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver notice what it no longer needs: Spark deletes shuffle and checkpoint files of collected objects only."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage reliably: the rows are written to the shared folder and read from there."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return cut
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,11 +55,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(conf).delete(where, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A compressed table in the shared folder instead of a checkpoint, and its path for :func:`drop_path`."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    tidy(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets the driver notice what it no longer needs: Spark deletes shuffle and checkpoint files of collected objects only."""
-    gc.collect()
-    spark._jvm.System.gc()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
