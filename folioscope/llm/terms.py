@@ -101,11 +101,12 @@ def term_counts(lists: DataFrame, partition_rows: int = PARTITION_ROWS) -> DataF
     spark = lists.sparkSession
     one = record_terms(lists).withColumn("records", F.lit(1).cast("long"))
     combined = one.mapInArrow(_combine, _COMBINED).withColumn("h", F.xxhash64("field_name", "term"))
-    leaf = F.shiftrightunsigned("h", 64 - FIRST_BITS)
+    # a few partitions for each task of the shuffle, however large the cluster is
+    bits = max(FIRST_BITS, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    leaf = F.shiftrightunsigned("h", 64 - bits)
     path = scratch_path(spark, "terms")
     combined.withColumn("leaf", leaf).repartition("leaf").write.parquet(path)
-    rows = spark.read.parquet(path).withColumn("bits", F.lit(FIRST_BITS))
-    bits = FIRST_BITS
+    rows = spark.read.parquet(path).withColumn("bits", F.lit(bits))
     while bits + NEXT_BITS <= 60:
         sizes = rows.groupBy("leaf", "bits").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         over = materialise(sizes.where((F.col("bits") == bits) & (F.col("n") > partition_rows) & (F.col("lo") < F.col("hi"))).select("leaf", "bits", F.lit(True).alias("over")))
