@@ -3,8 +3,9 @@
 Method: suffix blocking. The suffixes of a name's distinguishing word (a surname, the place in a body's
 name), from ``MIN_SUFFIX`` letters to the whole word, are index keys. A suffix that more than ``COMMON``
 spellings share is not dropped but refined with the other fields, step by step: a person's first initial,
-then more of the given name; a body's kind and field. What is still common after the last step holds
-spellings that agree in every field, and these are linked as a star. Within a block, pairs are compared
+then more of the given name; a body's kind and field. What is still common after the last step is compared
+all the same. Only spellings that agree in every compared field are linked as a star; the least of them
+stands for all in the blocks. Within a block, pairs are compared
 by the ratio of their longest common subsequence. A second family of keys, the suffixes of the given name
 with the beginning of the surname, finds surnames that are mistyped at their end.
 
@@ -242,8 +243,19 @@ def _body_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(sorted(rows), columns=["name", "level0", "level1", "level2", "level3"])
 
 
+def distinct_forms(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(forms, star): one row for the names that agree in every field, under the least of them; (a, b) links the others to it.
+
+    ``spellings`` counts the names of a form.
+    """
+    fields = [c for c in features.columns if c != "name"]
+    forms = materialise(features.groupBy(*fields).agg(F.min("name").alias("name"), F.count("*").alias("spellings")))
+    star = features.join(forms.where("spellings > 1").withColumnRenamed("name", "b"), fields).select(F.col("name").alias("a"), "b").where("a != b")
+    return forms, star
+
+
 def blocked_pairs(keyed: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """((name_a, name_b) to compare, (a, b) to link): keys too common are replaced by finer ones."""
+    """((name_a, name_b), (a, b)), both to compare: keys too common are replaced by finer ones; (a, b) are of keys that stay too common."""
     todo = materialise(keyed)
     blocks = None
     for level in ("level0", "level1", "level2", "level3"):
@@ -251,10 +263,13 @@ def blocked_pairs(keyed: DataFrame, common: int = COMMON) -> tuple[DataFrame, Da
         small = todo.join(sized.where((F.col("n") > 1) & (F.col("n") <= common)).select(F.col("key").alias(level)), level).select(F.concat(F.lit(level), F.col(level)).alias("key"), "name").distinct()
         blocks = small if blocks is None else blocks.unionByName(small)
         todo = todo.join(sized.where(F.col("n") > common).select(F.col("key").alias(level)), level, "left_semi")
-    star = todo.join(todo.groupBy("level3").agg(F.min("name").alias("low")), "level3").select(F.col("name").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-    blocks = materialise(blocks)
-    x, y = blocks.select("key", F.col("name").alias("name_a")), blocks.select("key", F.col("name").alias("name_b"))
-    return x.join(y, "key").where("name_a < name_b").select("name_a", "name_b").distinct(), star
+
+    def pairs(t: DataFrame, a: str, b: str) -> DataFrame:
+        x, y = t.select("key", F.col("name").alias(a)), t.select("key", F.col("name").alias(b))
+        return x.join(y, "key").where(F.col(a) < F.col(b)).select(a, b).distinct()
+
+    rest = todo.select(F.col("level3").alias("key"), "name").distinct()
+    return pairs(materialise(blocks), "name_a", "name_b"), pairs(rest, "a", "b")
 
 
 def same_given(a: str, b: str, formal_a: str, formal_b: str, both_established: bool) -> bool:
@@ -326,8 +341,9 @@ def _with_features(pairs: DataFrame, features: DataFrame) -> DataFrame:
 def person_entities(names: DataFrame) -> DataFrame:
     """(name, entity) of each spelling of (name) that has another one."""
     persons = read_persons(names)
-    pairs, star = blocked_pairs(persons.mapInPandas(_person_keys, _KEYED))
-    compared = materialise(_with_features(pairs, persons).mapInPandas(_compare_persons, "a string, b string, kind string"))
+    forms, star = distinct_forms(persons.where("given != '' OR initials != ''"))
+    pairs, rest = blocked_pairs(forms.mapInPandas(_person_keys, _KEYED))
+    compared = materialise(_with_features(pairs.union(rest).distinct(), forms).mapInPandas(_compare_persons, "a string, b string, kind string"))
     clusters = connected_components(compared.where("kind = 'same'").select("a", "b").unionByName(star))
     whole = F.coalesce("component", "name")
 
@@ -336,7 +352,7 @@ def person_entities(names: DataFrame) -> DataFrame:
 
     fits = compared.where("kind = 'initials'").join(cluster_of("a", "ca"), "a").join(cluster_of("b", "cb"), "b")
     # written initials of one surname are one person: they go where exactly one person fits them all
-    fits = fits.groupBy("ca", "cb").agg(F.countDistinct("a").alias("n"))
+    fits = fits.select("ca", "cb", "a").distinct().join(forms.select(F.col("name").alias("a"), "spellings"), "a").groupBy("ca", "cb").agg(F.sum("spellings").alias("n"))
     best = fits.groupBy("ca").agg(F.max("n").alias("most"))
     unique = fits.join(best, "ca").where("n = most").groupBy("ca").agg(F.min("cb").alias("x"), F.max("cb").alias("y")).where("x = y")
     edges = clusters.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(unique.select(F.col("ca").alias("a"), F.col("x").alias("b")))
@@ -346,8 +362,9 @@ def person_entities(names: DataFrame) -> DataFrame:
 def body_entities(names: DataFrame) -> DataFrame:
     """(name, entity) of each spelling of (name) that has another one."""
     bodies = materialise(names.mapInPandas(_bodies, "name string, kind string, field string, place string"))
-    pairs, star = blocked_pairs(bodies.mapInPandas(_body_keys, _KEYED))
-    linked = _with_features(pairs, bodies).mapInPandas(_compare_bodies, "a string, b string")
+    forms, star = distinct_forms(bodies.where("place != ''"))
+    pairs, rest = blocked_pairs(forms.mapInPandas(_body_keys, _KEYED))
+    linked = _with_features(pairs.union(rest).distinct(), forms).mapInPandas(_compare_bodies, "a string, b string")
     return connected_components(linked.unionByName(star)).select(F.col("node").alias("name"), F.col("component").alias("entity"))
 
 

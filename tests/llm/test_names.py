@@ -53,6 +53,18 @@ def test_refined_blocks_lose_nothing(spark, monkeypatch):
     assert want == {frozenset(x) for x in (("Vera Bovakohi", "Vera Bovakoih", "Bovakohi, Vera"), ("Quentin Tibipasa", "Quentin Tibipsaa"))}
 
 
+def test_blocks_common_to_the_end_are_compared(spark, rng):
+    stems = ["".join(rng.choice("bdfgklmprtvz" if i % 2 else "aeiouy") for i in range(9)) for _ in range(N.COMMON + 20)]
+    persons = [f"Anna {x}sson" for x in stems] + [f"ANNA {stems[0]}sson", f"Anna B. {stems[1]}sson", f"Anna C. {stems[2]}sson", f"Anna D. {stems[2]}sson"]
+    df = N.distinct_names(spark.createDataFrame([(s,) for s in persons], "name string"))
+    got = {frozenset(x) for x in groups(N.person_entities(df))}
+    assert {frozenset((persons[0], f"ANNA {stems[0]}sson")), frozenset((persons[1], f"Anna B. {stems[1]}sson"))} <= got
+    assert all(len({x.lower().split()[-1] for x in g}) == 1 for g in got)
+    bodies = [f"University of Bor{x}stad" for x in stems] + [f"Univ. of Bor{stems[0]}stad"]
+    df = N.distinct_names(spark.createDataFrame([(s,) for s in bodies], "name string"))
+    assert groups(N.body_entities(df)) == {frozenset((bodies[0], bodies[-1]))}
+
+
 BODIES = [
     ["University of Quenren", "U. of Quenren", "Universität Quenren", "Quenren, University of", "The University of Quenren", "UNIVERSITY OF QUENREN.", "Dept. of Linguistics, University of Quenren", "University of Quenren, Westmark", "Univesity of Qunren"],
     ["Quenren Institute of Technology", "Quenren Inst. Technol.", "Quenren Institute of Technology (QIT)", "Institute of Technology, Quenren"],
