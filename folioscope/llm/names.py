@@ -12,7 +12,7 @@ with the beginning of the surname, finds surnames that are mistyped at their end
 Persons: a spelling is read as given names, middle initial and surname, whatever its order, case, accents,
 particles and punctuation. Which of two words is the surname is told by where it stands in the other
 spellings. Nicknames stand for their full names. Two words that are both frequent are two names, not one
-and its misspelling. Initials are resolved last: they belong to the one person of the surname whose names
+and its misspelling, unless one is ``CORRECTS_BY`` times as frequent: misspellings of a name grow with it. Initials are resolved last: they belong to the one person of the surname whose names
 begin with them; if there are several, to none.
 
 Bodies: units, countries, legal forms and acronyms are set aside; what is compared is the kind of body,
@@ -40,6 +40,7 @@ MIN_SUFFIX = 4
 COMMON = 200
 RATIO = 0.8
 ESTABLISHED = 4
+CORRECTS_BY = 10
 
 # Particles of surnames.
 PARTICLES = frozenset("al bin da de del den der di du el ibn la le ten ter van von zu".split())
@@ -272,18 +273,23 @@ def blocked_pairs(keyed: DataFrame, common: int = COMMON) -> tuple[DataFrame, Da
     return pairs(materialise(blocks), "name_a", "name_b"), pairs(rest, "a", "b")
 
 
-def same_given(a: str, b: str, formal_a: str, formal_b: str, both_established: bool) -> bool:
+def both_established(n: int, m: int) -> bool:
+    """Whether words with so many partners are two names: fewer than ``ESTABLISHED`` tell nothing, beyond that the ratio does."""
+    return min(n, m) >= ESTABLISHED and max(n, m) < CORRECTS_BY * min(n, m)
+
+
+def same_given(a: str, b: str, formal_a: str, formal_b: str, established: bool) -> bool:
     """Equal, one the nickname of the other, or one the misspelling of the other."""
     if a == b or set(formal_a.split()) & set(formal_b.split()):
         return True
-    if both_established or min(len(a), len(b)) < 3:
+    if established or min(len(a), len(b)) < 3:
         return False
     return edits(a, b, 1) <= 1 and lcs_ratio(a, b) >= 0.74 or (min(len(a), len(b)) > 7 and lcs_ratio(a, b) >= RATIO and edits(a, b, 2) <= 2)
 
 
-def same_surname(a: str, b: str, both_established: bool) -> bool:
+def same_surname(a: str, b: str, established: bool) -> bool:
     """Equal but for spelled-out umlauts, or one the misspelling of the other."""
-    return a == b or _plain(a) == _plain(b) or (not both_established and min(len(a), len(b)) > 3 and lcs_ratio(a, b) >= RATIO and edits(a, b, 2) <= (1 if min(len(a), len(b)) < 8 else 2))
+    return a == b or _plain(a) == _plain(b) or (not established and min(len(a), len(b)) > 3 and lcs_ratio(a, b) >= RATIO and edits(a, b, 2) <= (1 if min(len(a), len(b)) < 8 else 2))
 
 
 def initials_fit(initials: str, given: str, middle: str) -> bool:
@@ -298,7 +304,7 @@ def _compare_persons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
-            if not same_surname(r.surname_a, r.surname_b, min(r.n_surname_a, r.n_surname_b) >= ESTABLISHED):
+            if not same_surname(r.surname_a, r.surname_b, both_established(r.n_surname_a, r.n_surname_b)):
                 continue
             if r.given_a and r.given_b:
                 if r.middle_a and r.middle_b and r.middle_a != r.middle_b:
@@ -306,7 +312,7 @@ def _compare_persons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 twice = r.surname_a != r.surname_b and r.given_a != r.given_b and not set(r.formal_a.split()) & set(r.formal_b.split())
                 if twice and lcs_ratio(r.given_a + r.surname_a, r.given_b + r.surname_b) < 0.85:
                     continue
-                if same_given(r.given_a, r.given_b, r.formal_a, r.formal_b, min(r.n_given_a, r.n_given_b) >= ESTABLISHED):
+                if same_given(r.given_a, r.given_b, r.formal_a, r.formal_b, both_established(r.n_given_a, r.n_given_b)):
                     rows.append((r.name_a, r.name_b, "same"))
             elif r.initials_a and r.initials_b:
                 if r.initials_a[0] == r.initials_b[0] and (min(len(r.initials_a), len(r.initials_b)) == 1 or r.initials_a[1:] == r.initials_b[1:] or len(r.initials_a) != len(r.initials_b) and set(r.initials_a) & set(r.initials_b)):

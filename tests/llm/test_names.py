@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 
 from folioscope.llm import names as N
@@ -65,6 +66,20 @@ def test_blocks_common_to_the_end_are_compared(spark, rng):
     assert groups(N.body_entities(df)) == {frozenset((bodies[0], bodies[-1]))}
 
 
+def compared(*persons):
+    """Kinds of the pair of two (surname, given, n_surname, n_given)."""
+    row = {}
+    for side, (surname, given, n_surname, n_given) in zip("ab", persons, strict=True):
+        row |= {f"name_{side}": side, f"surname_{side}": surname, f"given_{side}": given, f"middle_{side}": "", f"initials_{side}": "", f"formal_{side}": given, f"n_surname_{side}": n_surname, f"n_given_{side}": n_given}
+    return [k for b in N._compare_persons(iter([pd.DataFrame([row])])) for k in b["kind"]]
+
+
+@pytest.mark.parametrize("n,m,kinds", [(2, 3, ["same"]), (5, 500, ["same"]), (40, 4000, ["same"]), (40, 60, []), (400, 600, [])])
+def test_misspellings_grow_with_their_name(n, m, kinds):
+    assert compared(("bovakohi", "willam", 9, n), ("bovakohi", "william", 9, m)) == kinds
+    assert compared(("bovakohi", "vera", n, 9), ("bovakoih", "vera", m, 9)) == kinds
+
+
 BODIES = [
     ["University of Quenren", "U. of Quenren", "Universität Quenren", "Quenren, University of", "The University of Quenren", "UNIVERSITY OF QUENREN.", "Dept. of Linguistics, University of Quenren", "University of Quenren, Westmark", "Univesity of Qunren"],
     ["Quenren Institute of Technology", "Quenren Inst. Technol.", "Quenren Institute of Technology (QIT)", "Institute of Technology, Quenren"],
