@@ -9,6 +9,11 @@ stands for all in the blocks. Within a block, pairs are compared
 by the ratio of their longest common subsequence. A second family of keys, the suffixes of the given name
 with the beginning of the surname, finds surnames that are mistyped at their end.
 
+A finer key need not be shared by all true pairs, so names under common keys also meet exactly: words
+within the edits of each other share what is left after deletions, the rarer word goes with the more
+frequent one, and persons are joined by whole surname and given name (initials: by whole surname and first
+letter), bodies by kind and whole place.
+
 Persons: a spelling is read as given names, middle initial and surname, whatever its order, case, accents,
 particles and punctuation. Which of two words is the surname is told by where it stands in the other
 spellings. Nicknames stand for their full names. Two words that are both frequent are two names, not one
@@ -35,10 +40,12 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .canonical import edits, fold
 from .components import connected_components
+from .history import _probes, segments
 
 MIN_SUFFIX = 4
 COMMON = 200
 RATIO = 0.8
+DELETIONS_UP_TO = 16
 ESTABLISHED = 4
 CORRECTS_BY = 10
 
@@ -333,11 +340,83 @@ def _compare_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if r.field_a != r.field_b and lcs_ratio(r.field_a, r.field_b) < 0.88:
                 continue
-            if r.place_a == r.place_b or (min(len(r.place_a), len(r.place_b)) > 4 and lcs_ratio(r.place_a, r.place_b) >= RATIO and edits(r.place_a, r.place_b, 2) <= 2):
+            if same_place(r.place_a, r.place_b):
                 rows.append((r.name_a, r.name_b))
         yield pd.DataFrame(rows, columns=["a", "b"])
 
 
+def same_place(a: str, b: str) -> bool:
+    """Equal, or one the misspelling of the other."""
+    return a == b or (min(len(a), len(b)) > 4 and lcs_ratio(a, b) >= RATIO and edits(a, b, 2) <= 2)
+
+
+def _meeting_keys(word: str, part: str, stored: bool) -> set[str]:
+    """Keys of which two words within the edits share one, a stored one of one and a probed one of the other."""
+    keys = {f"p {_plain(word)}"} if part == "surname" else set()
+    if len(word) <= DELETIONS_UP_TO:
+        cut = {word}
+        for _ in range(2 if len(word) > (4 if part == "place" else 7) else 1):
+            cut |= {w[:i] + w[i + 1 :] for w in cut for i in range(len(w))}
+        keys |= {f"d {w}" for w in cut}
+    if len(word) > DELETIONS_UP_TO - 2:  # longer words have too many deletions, but telling segments
+        keys |= {f"{len(word)} {i} {x}" for i, _, x in segments(word, 2)} if stored else {f"{n} {i} {x}" for n, i, x in _probes(word)}
+    return keys
+
+
+def near_words(words: DataFrame, part: str) -> DataFrame:
+    """(word, to): each of the distinct words (word, n) with itself and with the more frequent words it may be a misspelling of."""
+    fits = {"surname": lambda a, b, e: same_surname(a, b, e), "given": lambda a, b, e: same_given(a, b, a, b, e), "place": lambda a, b, e: same_place(a, b)}[part]
+
+    def keyed(stored: bool):
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(k, w, n) for w, n in zip(b["word"], b["n"], strict=True) for k in _meeting_keys(w, part, stored)], columns=["key", "word", "n"])
+
+        return words.mapInPandas(rows, "key string, word string, n long")
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(w, t) for w, n, t, m in zip(b["word"], b["n"], b["to"], b["m"], strict=True) if fits(w, t, part != "place" and both_established(n, m))]
+            yield pd.DataFrame(rows, columns=["word", "to"])
+
+    met = keyed(False).join(keyed(True).select("key", F.col("word").alias("to"), F.col("n").alias("m")), "key")
+    met = met.where(F.struct("n", "word") < F.struct(F.col("m").alias("n"), F.col("to").alias("word"))).select("word", "n", "to", "m").distinct()
+    return materialise(met.mapInPandas(verified, "word string, to string").unionByName(words.select("word", F.col("word").alias("to"))))
+
+
+def _meeting(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    """(name_a, name_b) of two tables of names that meet."""
+    met = x.withColumnRenamed("name", "x").join(y.withColumnRenamed("name", "y"), on).where("x != y")
+    return met.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+
+
+def names_under_common_keys(keyed: DataFrame, common: int = COMMON) -> DataFrame:
+    """The names that have a key of the first level which is refined."""
+    hot = keyed.groupBy("level0").agg(F.countDistinct("name").alias("n")).where(F.col("n") > common).select("level0")
+    return keyed.join(hot, "level0", "left_semi").select("name").distinct()
+
+
+def person_pairs(forms: DataFrame) -> DataFrame:
+    """(name_a, name_b): every pair that _compare_persons may accept, however common its parts are."""
+    forms = materialise(forms)
+    surnames = near_words(forms.groupBy(F.col("surname").alias("word")).agg(F.max("n_surname").alias("n")), "surname").select(F.col("word").alias("surname"), F.col("to").alias("s"))
+    givens = near_words(forms.where("given != ''").groupBy(F.col("given").alias("word")).agg(F.max("n_given").alias("n")), "given").select(F.col("word").alias("given"), F.col("to").alias("g"))
+    full, short = forms.where("given != ''"), forms.where("given = ''")
+    formal = full.select("name", "surname", F.explode(F.split("formal", " ")).alias("g"))
+    called = full.join(givens, "given").select("name", "surname", "g").unionByName(formal).distinct().join(surnames, "surname").select("name", "s", "g")
+    letters = formal.select("name", "surname", F.substring("g", 1, 1).alias("letter")).distinct().join(surnames, "surname").select("name", "s", "letter")
+    initials = short.select("name", "surname", F.substring("initials", 1, 1).alias("letter")).join(surnames, "surname").select("name", "s", "letter")
+    return _meeting(called, called, ["s", "g"]).unionByName(_meeting(initials, letters, ["s", "letter"])).unionByName(_meeting(initials, initials, ["s", "letter"])).distinct()
+
+
+def body_pairs(forms: DataFrame) -> DataFrame:
+    """(name_a, name_b): every pair that _compare_bodies may accept, however common its parts are."""
+    forms = materialise(forms)
+    places = near_words(forms.select(F.col("place").alias("word"), F.lit(0).cast("long").alias("n")).distinct(), "place").select(F.col("word").alias("place"), F.col("to").alias("p"))
+    placed = forms.join(places, "place").select("name", "kind", "p")
+    return _meeting(placed, placed, ["kind", "p"])
+
+
 def _with_features(pairs: DataFrame, features: DataFrame) -> DataFrame:
     for side in "ab":
         pairs = pairs.join(features.select(*(F.col(c).alias(f"{c}_{side}") for c in features.columns)), f"name_{side}")
@@ -348,8 +427,10 @@ def person_entities(names: DataFrame) -> DataFrame:
     """(name, entity) of each spelling of (name) that has another one."""
     persons = read_persons(names)
     forms, star = distinct_forms(persons.where("given != '' OR initials != ''"))
-    pairs, rest = blocked_pairs(forms.mapInPandas(_person_keys, _KEYED))
-    compared = materialise(_with_features(pairs.union(rest).distinct(), forms).mapInPandas(_compare_persons, "a string, b string, kind string"))
+    keyed = materialise(forms.mapInPandas(_person_keys, _KEYED))
+    pairs, _ = blocked_pairs(keyed)
+    exact = person_pairs(forms.join(names_under_common_keys(keyed), "name", "left_semi"))
+    compared = materialise(_with_features(pairs.unionByName(exact).distinct(), forms).mapInPandas(_compare_persons, "a string, b string, kind string"))
     clusters = connected_components(compared.where("kind = 'same'").select("a", "b").unionByName(star))
     whole = F.coalesce("component", "name")
 
@@ -369,8 +450,10 @@ def body_entities(names: DataFrame) -> DataFrame:
     """(name, entity) of each spelling of (name) that has another one."""
     bodies = materialise(names.mapInPandas(_bodies, "name string, kind string, field string, place string"))
     forms, star = distinct_forms(bodies.where("place != ''"))
-    pairs, rest = blocked_pairs(forms.mapInPandas(_body_keys, _KEYED))
-    linked = _with_features(pairs.union(rest).distinct(), forms).mapInPandas(_compare_bodies, "a string, b string")
+    keyed = materialise(forms.mapInPandas(_body_keys, _KEYED))
+    pairs, _ = blocked_pairs(keyed)
+    exact = body_pairs(forms.join(names_under_common_keys(keyed), "name", "left_semi"))
+    linked = _with_features(pairs.unionByName(exact).distinct(), forms).mapInPandas(_compare_bodies, "a string, b string")
     return connected_components(linked.unionByName(star)).select(F.col("node").alias("name"), F.col("component").alias("entity"))
 
 

@@ -80,6 +80,18 @@ def test_misspellings_grow_with_their_name(n, m, kinds):
     assert compared(("bovakohi", "vera", n, 9), ("bovakoih", "vera", m, 9)) == kinds
 
 
+def test_true_pairs_meet_under_common_keys(spark, rng):
+    crowd = [(f"{''.join(rng.choice('bcdefghijklm') for _ in range(7))}", "smith", "") for _ in range(N.COMMON + 20)]
+    true = [("john", "smith", ""), ("johm", "smith", ""), ("jhon", "smiht", ""), ("", "smith", "j"), ("", "smiht", "jq"), ("robert", "roelevazi", ""), ("bob", "rolevazi", ""), ("maximilianaleksander", "smith", ""), ("maximilianaleksandr", "smith", "")]
+    rows = [(f"{g or i} {s}", s, g, "", i, {"bob": "robert"}.get(g, g), 1, 1) for g, s, i in crowd + true]
+    forms = spark.createDataFrame(rows, "name string, surname string, given string, middle string, initials string, formal string, n_given long, n_surname long")
+    got = {(r.name_a, r.name_b) for r in N.person_pairs(forms).collect()}
+    want = [("john smith", "johm smith"), ("john smith", "jhon smiht"), ("john smith", "j smith"), ("john smith", "jq smiht"), ("j smith", "jq smiht"), ("robert roelevazi", "bob rolevazi"), ("maximilianaleksander smith", "maximilianaleksandr smith")]
+    assert {tuple(sorted(p)) for p in want} <= got
+    keyed = forms.mapInPandas(N._person_keys, N._KEYED)
+    assert {"john smith", "johm smith", "j smith"} <= {r.name for r in N.names_under_common_keys(keyed).collect()}
+
+
 BODIES = [
     ["University of Quenren", "U. of Quenren", "Universität Quenren", "Quenren, University of", "The University of Quenren", "UNIVERSITY OF QUENREN.", "Dept. of Linguistics, University of Quenren", "University of Quenren, Westmark", "Univesity of Qunren"],
     ["Quenren Institute of Technology", "Quenren Inst. Technol.", "Quenren Institute of Technology (QIT)", "Institute of Technology, Quenren"],
