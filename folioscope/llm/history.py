@@ -1,26 +1,33 @@
 """Deduplicating new batches against everything accepted before (problem 3).
 
-Method: a segment index for edit distance. A string that may have ``k`` edits is stored as a fixed
-number of segments, each under its number, the string's length and the segment's text. A batch string
-probes, for each length within ``k``, the substrings that can stand where a segment stands; strings that
-meet are verified with bounded edit distance; then the batch's own segments are appended. One edit
-(insertion, deletion, substitution, transposition) touches two segments at most, so ``2k + 1`` segments
-always leave one whole.
+Method: a segment index for edit distance. A string that may have ``k`` edits is stored as ``k + 1``
+segments, each under its number, the string's length and the segment's text. A batch string probes, for
+each length within ``k``, the few substrings that can stand where a segment stands (as many places off as
+edits may lie before and after it); strings that meet are verified with bounded edit distance; then the
+batch's own segments are appended. A transposition across a segment's end would touch two segments, so
+a string is also stored with the two letters at each end exchanged.
 
 The strings are the words of folded titles, not whole titles, whose common beginnings would bring
-thousands of titles under one segment:
+thousands of titles under one segment. Pairs of near words decide about titles:
 
-* the vocabulary: a word that occurs in at most a tenth of the titles that another word within
-  ``word_edits`` has is a misspelling of it. Probes are the words, the index holds those frequent enough
-  to correct any;
-* the titles: after correction a title is the sorted bag of its words. A title and another one that
-  differ in one rare word, within ``word_edits``, are the same; the segments of the rare word are stored
-  under the digest of all the other words.
+* a word that another one within ``word_edits`` exceeds ``CORRECTS_BY`` times in titles is its
+  misspelling and is replaced;
+* of two near words of comparable frequency the rarer may stand for the other. A title gives, besides
+  the bag of its words, the bags with one or two such words exchanged; titles that share a bag are
+  linked. Whether two such words are one is told by their use: at least ``EVIDENCE`` of the rarer
+  one's titles must meet a title that has the other in its place. All bounds are ratios, so they judge alike at
+  every size.
 
-Titles that differ in a number, a version or a word that both occur often stay apart.
+Titles that differ in a number, a version or a word that both use on their own stay apart.
 Two rows are the same paper by identifier (apart from version and writing) or title; both relations and
 their chains give components, and a paper's first row in (batch, row) order stands for it.
 
+The index is a folder of tables that are only appended to: rows, titles, word counts, segments, near
+words, bags, links. A batch stands in a subfolder of each and counts once its mark is written last, so a
+batch that was interrupted is written again, and an index is opened again by its path. A batch shuffles
+what meets it: its new words probe the segments, its bags the stored bags; older titles are signed anew
+only if one of their words gains a near word. The history's key columns are scanned, never rewritten.
+
 Defined results: rows without identifier and title (null, blank, NA token) are new; a title with no word
 left matches nothing; repeated rows are duplicates of their first; an empty table gives no rows; other
 columns are not carried along.
@@ -28,18 +35,22 @@ columns are not carried along.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import html
 import re
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
-from ..session import materialise
+from ..session import materialise, scratch_path
 from .canonical import edits, fold
 from .components import connected_components
+from .store import BatchStore
 
 # Words that a title may gain, lose or exchange.
 FUNCTION_WORDS = frozenset("a an and at by for from in into of on onto over the to with".split())
@@ -48,8 +59,9 @@ REMARKS = (
     r"[\[(]\s*(?:(?:extended|full|long|short|revised|updated|final|preliminary|draft|corrected|journal|conference|workshop|arxiv)\s+(?:version|edition|abstract|paper|draft)|camera[\s-]*ready(?:\s+version)?|pre-?print|draft|accepted|to appear|under review|withdrawn|poster|oral|with appendix|(?:with\s+)?supplement(?:ary material)?(?:\s+included)?)\s*[\])]",
     r"[\s:;,.–—-]+(?:with\s+)?(?:supplement(?:ary material)?|appendix)\s+included\s*$",
 )
-WORD_RARE_UP_TO = 50
 CORRECTS_BY = 10
+EVIDENCE = 0.5
+EXCHANGED = 2
 
 
 def title_words(title: str) -> list[str]:
@@ -68,49 +80,57 @@ def word_edits(n: int) -> int:
     return 0 if n < 3 else 1 if n < 6 else 2
 
 
-def segments(word: str, k: int) -> list[tuple[int, int, str]]:
-    """(number, start, text) of the ``2k + 1`` segments."""
-    n, parts = len(word), 2 * k + 1
-    return [(i, n * i // parts, word[n * i // parts : n * (i + 1) // parts]) for i in range(parts)]
+def _bounds(n: int, k: int) -> list[tuple[int, int]]:
+    return [(n * i // (k + 1), n * (i + 1) // (k + 1)) for i in range(k + 1)]
+
+
+def segments(word: str, k: int) -> set[tuple[int, str]]:
+    """(number, text) of the ``k + 1`` segments, as they are and with the letters at each inner end exchanged."""
+    found = set()
+    cut = _bounds(len(word), k)
+    for b in [0, *(start for start, _ in cut[1:])]:
+        w = word if b == 0 else word[: b - 1] + word[b] + word[b - 1] + word[b + 1 :]
+        found |= {(i, w[s:e]) for i, (s, e) in enumerate(cut)}
+    return found
 
 
-def _probes(word: str) -> Iterator[tuple[int, int, str]]:
-    """(length of the stored word, number, substring) that a stored word within the edits can share."""
+def probes(word: str, edits_of=word_edits) -> set[tuple[int, int, str]]:
+    """(length of the stored word, number, substring) of which a stored word within the edits has one."""
     seen = set()
-    for n in range(max(3, len(word) - 2), len(word) + 3):
-        k = word_edits(n)
-        shift = len(word) - n
+    most = edits_of(len(word))
+    for n in range(max(3, len(word) - most), len(word) + most + 1):
+        k, shift = edits_of(n), len(word) - n
         if abs(shift) > k:
             continue
-        for i in range(2 * k + 1):
-            start, size = n * i // (2 * k + 1), n * (i + 1) // (2 * k + 1) - n * i // (2 * k + 1)
-            for at in range(max(0, start - k), min(len(word) - size, start + k) + 1):
-                if abs(at - start - shift) <= k:
-                    seen.add((n, i, word[at : at + size]))
-    yield from seen
-
-
-_KEY = "len int, slot int, segment string, letters long"
+        for i, (s, e) in enumerate(_bounds(n, k)):
+            # at most i edits lie before segment i, at most k - i after it
+            for at in range(max(0, s - i, s + shift - (k - i)), min(len(word) - (e - s), s + i, s + shift + k - i) + 1):
+                seen.add((n, i, word[at : at + e - s]))
+    return seen
 
 
 def _letters(word: str) -> int:
-    """Which letters a word has, as bits; an edit changes two of them at most."""
+    """Which letters a word has, and which twice, as bits; an edit changes two of them at most."""
     bits = 0
     for c in word:
-        bits |= 1 << (ord(c) & 63)
+        bit = 1 << (ord(c) & 31)
+        bits |= bit << 32 if bits & bit else bit
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+_KEY = "len int, slot int, segment string, letters long"
+
+
 def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(r, w, len(w), i, s, _letters(w)) for r, w in zip(b["rest"], b["word"], strict=True) for i, _, s in segments(w, word_edits(len(w)))]
-        yield pd.DataFrame(rows, columns=["rest", "word", "len", "slot", "segment", "letters"])
+        rows = [(w, len(w), i, s, _letters(w)) for w in b["word"] for i, s in segments(w, word_edits(len(w)))]
+        yield pd.DataFrame(rows, columns=["word", "len", "slot", "segment", "letters"])
 
 
 def _probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(r, w, *p, bits) for r, w in zip(b["rest"], b["word"], strict=True) for bits in (_letters(w),) for p in _probes(w)]
-        yield pd.DataFrame(rows, columns=["rest", "probe", "len", "slot", "segment", "letters"])
+        rows = [(w, *p, bits) for w in b["word"] for bits in (_letters(w),) for p in probes(w)]
+        yield pd.DataFrame(rows, columns=["probe", "len", "slot", "segment", "letters"])
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,24 +145,25 @@ def _editable(word: Column) -> Column:
     return word.rlike(r"^\D{3,}$") & ~word.rlike(r"^[ivxlc]+$")
 
 
-def _spread(words: DataFrame) -> DataFrame:
-    """Few rows that make many: over all tasks, however small they are."""
-    return words.select("rest", "word").distinct().repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rest", "word")
-
-
 def store_segments(words: DataFrame) -> DataFrame:
-    """The index rows of (rest, word): words that may be edited, under their segments."""
-    return words.where(_editable(F.col("word"))).select("rest", "word").distinct().mapInPandas(_stored, f"rest long, word string, {_KEY}")
+    """The index rows of the distinct words of (word) that may be edited, under their segments."""
+    return words.where(_editable(F.col("word"))).select("word").mapInPandas(_stored, f"word string, {_KEY}")
 
 
 def probe_segments(words: DataFrame, index: DataFrame) -> DataFrame:
-    """(rest, probe, word, edits): the words of (rest, word) and the different stored ones within their edits."""
-    probes = _spread(words.where(_editable(F.col("word")))).mapInPandas(_probing, f"rest long, probe string, {_KEY}")
-    met = probes.withColumnRenamed("letters", "bits").join(index, ["rest", "len", "slot", "segment"])
-    edits_most = F.when(F.least(F.length("probe"), F.length("word")) < 6, 1).otherwise(2)
-    close = (F.bit_count(F.col("bits").bitwiseXOR(F.col("letters"))) <= 2 * edits_most) & (F.col("probe") != F.col("word"))
-    met = met.where(close).select("rest", "probe", "word").distinct()
-    return met.mapInPandas(_verified, "rest long, probe string, word string, edits int")
+    """(probe, word, edits): the distinct words of (word) and the different stored ones within their edits.
+
+    Of two words that both are probes, as ``index.own`` tells, the lesser one probes.
+    """
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few rows that make many: over all tasks, however small they are
+    asked = words.where(_editable(F.col("word"))).select("word").repartition(tasks, "word").mapInPandas(_probing, f"probe string, {_KEY}")
+    met = asked.withColumnRenamed("letters", "bits").join(index, ["len", "slot", "segment"])
+    most = F.when(F.least(F.length("probe"), F.length("word")) < 6, 1).otherwise(2)
+    # a transposition is one edit here and two of Levenshtein's, and leaves the letters as they are
+    other, far = F.bit_count(F.col("bits").bitwiseXOR(F.col("letters"))), F.levenshtein("probe", "word", 4)
+    close = F.when(F.col("own"), F.col("probe") < F.col("word")).otherwise(F.col("probe") != F.col("word")) & (other <= 2 * most) & (far >= 0) & ((far <= most) | (F.ceil((far - 1) / 2) + F.ceil(other / 2) <= most))
+    return met.where(close).select("probe", "word").distinct().mapInPandas(_verified, "probe string, word string, edits int")
 
 
 def paper_id(c: Column) -> Column:
@@ -170,57 +191,147 @@ def digest(c: Column) -> Column:
     return F.substring(F.base64(F.unhex(F.md5(c))), 1, 22)
 
 
+def _bag(words: list[str]) -> str:
+    return base64.b64encode(hashlib.md5(" ".join(sorted(words)).encode()).digest()).decode()[:22]
+
+
+_ROWS = "row_id long, batch_no int, paper string, words array<string>, key string"
+_TITLES = "key string, words array<string>"
+_WORDS = "word string, n long"
+_SEGMENTS = f"word string, {_KEY}"
+_NEAR = "u string, v string, edits int, nu long, nv long"
+_SUBS = "array<struct<u:string,v:string,nu:bigint,nv:bigint>>"
+_OPTIONS = "array<struct<v:string,nu:bigint,nv:bigint>>"
+_BAGS = f"key string, bag string, sig string, subs {_SUBS}, fixed array<string>, ns array<bigint>"
+_LINKS = f"key string, bag string, sig string, subs {_SUBS}"
+
+
+def _exchanged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bags of each title with up to ``EXCHANGED`` words replaced by near ones."""
+    for b in batches:
+        rows = []
+        for key, bag, words, options in zip(b["key"], b["bag"], b["fixed"], b["options"], strict=True):
+            near: dict[int, list] = {}
+            for o in options:
+                near.setdefault(o["at"], []).append(o)
+            for m in range(1, EXCHANGED + 1):
+                for at in combinations(sorted(near), m):
+                    for to in product(*(near[i] for i in at)):
+                        new = list(words)
+                        for i, o in zip(at, to, strict=True):
+                            new[i] = o["v"]
+                        subs = [{"u": words[o["at"]], "v": o["v"], "nu": o["nu"], "nv": o["nv"]} for o in to]
+                        rows.append((key, bag, _bag([w for w in new if w not in FUNCTION_WORDS]), subs))
+        yield pd.DataFrame(rows, columns=["key", "bag", "sig", "subs"])
+
+
 class TitleIndex:
-    """All accepted titles. ``accept`` links a batch to what is stored, then stores it.
+    """All accepted rows, in a folder. ``accept`` links a batch to what is stored and stores it; ``papers`` tells the papers.
 
-    Held as DataFrames: ``words`` (counts of title words), ``titles`` (the known bags under the digest of
-    all but one word) and, of the last batch, ``bags`` (each title's corrected words). A batch reads of
-    the history what its probes meet, by equality joins.
+    Without a path the index stands in the shared folder under a new name; with the path of an index it goes on.
     """
 
-    def __init__(self) -> None:
-        self.words: DataFrame | None = None
-        self.titles: DataFrame | None = None
-        self.bags: DataFrame | None = None
-
-    def _corrected(self, bags: DataFrame) -> DataFrame:
-        """(key, words): misspelled words replaced by the frequent ones they stand for."""
-        here = materialise(bags.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-        if self.words is None:
-            self.words = counts = here
-        else:
-            self.words = materialise(here.unionByName(self.words).groupBy("word").agg(F.sum("n").alias("n")))
-            counts = self.words.join(here.select("word"), "word", "left_semi")  # the batch's words, with all their titles
-        whole = F.lit(0).cast("long").alias("rest")
-        index = store_segments(self.words.where(F.col("n") >= CORRECTS_BY).select(whole, "word"))
-        near = probe_segments(counts.select(whole, "word"), index)
-        near = near.join(counts.select(F.col("word").alias("probe"), F.col("n").alias("n_probe")), "probe").join(self.words, "word").where(F.col("n") >= CORRECTS_BY * F.col("n_probe"))
-        fixes = near.groupBy("probe").agg(F.min(F.struct("edits", (-F.col("n")).alias("rank"), "word")).alias("best")).select(F.col("probe").alias("w"), F.col("best.word").alias("fix"))
-        vocabulary = counts.select(F.col("word").alias("w"), "n").join(fixes, "w", "left").select("w", F.coalesce("fix", "w").alias("to"), (F.col("fix").isNull() & (F.col("n") <= WORD_RARE_UP_TO)).alias("rare"))
-        one = bags.select("key", F.explode("words").alias("w")).join(vocabulary, "w")
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.path = path or scratch_path(spark, "titles")
+        self.store = BatchStore(spark, self.path)
+
+    def accept(self, rows: DataFrame) -> None:
+        """Stores the rows of (row_id, batch_no, paper_id, title) as the next batch."""
+        s = self.store
+        later = bool(s.batches)
+        s.write("rows", keyed_titles(title_table(rows)))
+        titles = s.batch("rows", _ROWS).where("key IS NOT NULL").groupBy("key").agg(F.expr("any_value(words) AS words"))
+        if later:
+            titles = titles.join(s.before("titles", _TITLES).select("key"), "key", "left_anti")
+        s.write("titles", titles)
+        titles = s.batch("titles", _TITLES)
+        s.write("words", titles.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+        words = s.batch("words", _WORDS)
+        new = words.join(s.before("words", _WORDS).select("word").distinct(), "word", "left_anti") if later else words
+        s.write("segments", store_segments(new))
+        index = s.batch("segments", _SEGMENTS).withColumn("own", F.lit(True))
+        if later:
+            index = index.unionByName(s.before("segments", _SEGMENTS).withColumn("own", F.lit(False)))
+        near = probe_segments(new, index)
+        counts = self._counts(near.select(F.explode(F.array("probe", "word")).alias("word")).distinct()) if later else words
+        near = near.join(counts.select(F.col("word").alias("probe"), F.col("n").alias("n_probe")), "probe").join(counts, "word")
+        low, high = (f(F.struct(F.col("n_probe").alias("n"), F.col("probe").alias("w")), F.struct(F.col("n").alias("n"), F.col("word").alias("w"))) for f in (F.least, F.greatest))
+        near = near.select(low.alias("x"), high.alias("y"), "edits").select(F.col("x.w").alias("u"), F.col("y.w").alias("v"), "edits", F.col("x.n").alias("nu"), F.col("y.n").alias("nv"))
+        s.write("near", near.distinct())
+        again = None
+        if later:  # older titles one of whose words has a near word now that it may stand for
+            gained = s.batch("near", _NEAR).select(F.col("u").alias("word")).distinct()
+            again = s.before("titles", _TITLES).select("key", "words", F.explode("words").alias("word")).join(gained, "word", "left_semi").select("key", "words").distinct()
+            titles = materialise(titles.unionByName(again))
+            counts = materialise(self._counts(titles.select(F.explode("words").alias("word")).distinct()))
+        s.write("bags", self._bags(titles, counts if later else words))
+        bags = s.all("bags", _BAGS)
+        if later:
+            bags = bags.join(s.batch("bags", _BAGS).select("sig").distinct(), "sig", "left_semi")
+        shared = bags.groupBy("sig").agg(F.min("bag").alias("lo"), F.max("bag").alias("hi")).where("lo < hi").select("sig")
+        links = bags.where("sig != bag").join(shared, "sig").select("key", "bag", "sig", "subs")
+        if later:  # a title signed anew may have another bag
+            fresh = s.batch("bags", _BAGS).where("sig = bag").select("key", F.col("bag").alias("sig"))
+            links = links.unionByName(s.before("bags", _BAGS).where("sig = bag").join(fresh, "key").where(F.col("bag") != fresh["sig"]).select("key", "bag", fresh["sig"], F.array().cast(_SUBS).alias("subs")))
+        s.write("links", links)
+        s.close()
+
+    def _counts(self, words: DataFrame) -> DataFrame:
+        """(word, n) of the given words over all batches."""
+        return self.store.all("words", _WORDS).join(words, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def _bags(self, titles: DataFrame, counts: DataFrame) -> DataFrame:
+        near = self.store.all("near", _NEAR)
+        if len(self.store.batches):
+            near = near.join(counts.select(F.col("word").alias("u")), "u", "left_semi")
+        best = F.min(F.when(F.col("nv") >= CORRECTS_BY * F.col("nu"), F.struct("edits", (-F.col("nv")).alias("rank"), "v"))).alias("best")
+        options = F.collect_set(F.struct("v", "nu", "nv")).alias("options")  # bounded by the words within a few edits
+        chosen = near.groupBy(F.col("u").alias("word")).agg(best, options)
+        vocabulary = counts.join(chosen, "word", "left").select("word", F.coalesce("best.v", "word").alias("to"), F.coalesce(-F.col("best.rank"), F.col("n")).alias("n"), F.when(F.col("best").isNull(), F.col("options")).alias("options"))
         # function words go after correction, since they are mistyped too
-        one = one.where(~F.col("to").isin(*sorted(FUNCTION_WORDS)))
-        return materialise(one.groupBy("key").agg(F.array_sort(F.collect_list("to")).alias("fixed"), F.array_sort(F.collect_set(F.when(F.col("rare"), F.col("to")))).alias("rare")))
-
-    def accept(self, bags: DataFrame) -> DataFrame:
-        """Edges (a, b) between the bags of (key, words) and bags one rare word apart; ``bags`` then maps keys to bags."""
-        fixed = self._corrected(bags)
-        bag = fixed.select("key", digest(F.array_join("fixed", " ")).alias("bag"), "fixed", "rare")
-        self.bags = bag.select("key", "bag", "fixed")
-        one = bag.where("size(rare) > 0 AND size(fixed) > 1").dropDuplicates(["bag"]).select("bag", "fixed", F.explode("rare").alias("word"))
-        at = F.array_position("fixed", F.col("word")).cast("int")
-        others = F.concat(F.slice("fixed", F.lit(1), at - 1), F.slice("fixed", at + 1, F.size("fixed")))
-        parts = materialise(one.select("bag", "word", F.xxhash64(F.array_join(others, " ")).alias("rest")))
-        known = parts if self.titles is None else parts.unionByName(self.titles)
-        # a probe pays only where another word stands beside the same rest
-        several = materialise(known.groupBy("rest").agg(F.min("word").alias("x"), F.max("word").alias("y")).where("x != y").select("rest"))
-        known_here = materialise(known.join(several, "rest", "left_semi"))
-        probing = known_here if self.titles is None else parts.join(several, "rest", "left_semi")
-        near = materialise(probe_segments(probing, store_segments(known_here)))
-        bags_of = known_here.select("rest", "word", "bag").distinct()
-        linked = near.join(bags_of.select("rest", F.col("word").alias("probe"), F.col("bag").alias("a")), ["rest", "probe"]).join(bags_of.select("rest", "word", F.col("bag").alias("b")), ["rest", "word"])
-        self.titles = known if self.titles is None else materialise(known.distinct())
-        return materialise(linked.select("a", "b").distinct())
+        one = titles.select("key", F.explode("words").alias("word")).join(vocabulary, "word").where(~F.col("to").isin(*sorted(FUNCTION_WORDS)))
+        parts = one.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("to", "n", "options"))).alias("parts"))  # the words of one title
+        near_at = F.transform("parts", lambda p, i: F.transform(F.coalesce(p.options, F.array().cast(_OPTIONS)), lambda o: F.struct(i.alias("at"), o.v.alias("v"), o.nu.alias("nu"), o.nv.alias("nv"))))
+        bags = parts.select("key", digest(F.array_join("parts.to", " ")).alias("bag"), F.col("parts.to").alias("fixed"), F.col("parts.n").alias("ns"), F.flatten(near_at).alias("options"))
+        open_ = bags.where("size(options) > 0 AND size(fixed) > 1").select("key", "bag", "fixed", "options").mapInPandas(_exchanged, f"key string, bag string, sig string, subs {_SUBS}")
+        return bags.select("key", "bag", F.col("bag").alias("sig"), F.array().cast(_SUBS).alias("subs"), "fixed", "ns").unionByName(open_, allowMissingColumns=True)
+
+    def bag_words(self) -> DataFrame:
+        """(key, bag, fixed, ns): each title's corrected words and the number of titles that hold them."""
+        return self.store.all("bags", _BAGS).where("sig = bag").groupBy("key").agg(F.min_by(F.struct("bag", "fixed", "ns"), "bag").alias("b")).select("key", "b.*")
+
+    def links(self) -> DataFrame:
+        """(key, a, b): bags that a title shares, its own and those whose exchanged words, all of them, are one word by their use."""
+        # a title that is signed anew repeats its links
+        links = self.store.all("links", _LINKS).withColumn("link", F.xxhash64("key", "bag", "sig", "subs")).dropDuplicates(["link"])
+        plain = links.where("size(subs) = 0").select("key", F.col("bag").alias("a"), F.col("sig").alias("b"))
+        one = links.where("size(subs) > 0").select("key", "bag", "sig", "link", F.size("subs").alias("of"), F.explode("subs").alias("x")).select("key", "bag", "sig", "link", "of", F.col("x.u").alias("u"), F.col("x.v").alias("v"), F.col("x.nu").alias("nu"))
+        # the titles of the rarer word that meet the other
+        used = one.groupBy("u", "v").agg(F.countDistinct("key").alias("met"), F.max("nu").alias("n")).where(F.col("met") >= EVIDENCE * F.col("n")).select("u", "v")
+        held = one.join(used, ["u", "v"]).groupBy("link").agg(F.first("key").alias("key"), F.first("bag").alias("bag"), F.first("sig").alias("sig"), F.count("*").alias("k"), F.first("of").alias("of")).where("k = of")
+        return plain.unionByName(held.select("key", F.col("bag").alias("a"), F.col("sig").alias("b")))
+
+    def papers(self, before: int | None = None) -> DataFrame:
+        """(row_id, batch_no, key, paper): title key and component of each row (of batch numbers below ``before``); null if it has neither key.
+
+        Nodes are bags of words. An identifier is an edge from each of its bags to the least one, so the
+        papers with one bag, nearly all, never enter the search for components.
+        """
+        rows, links = self.store.all("rows", _ROWS).select("row_id", "batch_no", "key", "paper"), self.links()
+        if before is not None:
+            rows = rows.where(F.col("batch_no") < before)
+            links = links.join(rows.select("key").distinct(), "key", "left_semi")
+        bagged = materialise(rows.join(self.bag_words().select("key", "bag"), "key", "left"))
+        of_id = bagged.where("paper IS NOT NULL AND bag IS NOT NULL").select("paper", "bag").distinct()
+        least = of_id.groupBy("paper").agg(F.min("bag").alias("least"), F.max("bag").alias("most"))
+        several = least.where("least != most").select("paper", "least")
+        components = connected_components(links.select("a", "b").unionByName(of_id.join(several, "paper").select(F.col("bag").alias("a"), F.col("least").alias("b"))))
+        with_bag = bagged.where("bag IS NOT NULL").withColumn("node", F.col("bag"))
+        without = bagged.where("bag IS NULL").join(least.select("paper", "least"), "paper", "left").withColumn("node", F.coalesce("least", F.concat(F.lit("i:"), F.col("paper")))).select(*with_bag.columns)
+        return with_bag.unionByName(without).join(components, "node", "left").select("row_id", "batch_no", "key", F.coalesce("component", "node").alias("paper"))
+
+    def drop(self) -> None:
+        self.store.drop()
 
 
 def keyed_titles(titles: DataFrame) -> DataFrame:
@@ -228,33 +339,19 @@ def keyed_titles(titles: DataFrame) -> DataFrame:
     return titles.withColumn("key", F.when(F.size("words") > 0, digest(F.array_join("words", " "))))
 
 
-def title_bags(keyed: DataFrame) -> DataFrame:
-    """(key, words), each key once."""
-    return keyed.where("key IS NOT NULL").groupBy("key").agg(F.expr("any_value(words) AS words"))
-
-
-def paper_table(rows: DataFrame, index: TitleIndex) -> DataFrame:
-    """(row_id, batch_no, key, paper): title key and component of each row; null if it has neither key.
+def same_papers(rows: DataFrame, batches_at_once: int | None = None) -> DataFrame:
+    """(row_id, batch_no, paper): the component of each row of (row_id, batch_no, paper_id, title); null if it has no key.
 
-    Nodes are bags of words. An identifier is an edge from each of its bags to the least one, so the
-    papers with one bag, nearly all, never enter the search for components.
+    Rows are accepted in the order of ``batch_no``, ``batches_at_once`` numbers at a time (all at once by default).
     """
-    keyed = materialise(keyed_titles(title_table(rows)))
-    near = index.accept(title_bags(keyed))
-    bagged = materialise(keyed.select("row_id", "batch_no", "key", "paper").join(index.bags.select("key", "bag"), "key", "left"))
-    of_id = bagged.where("paper IS NOT NULL AND bag IS NOT NULL").select("paper", "bag").distinct()
-    least = of_id.groupBy("paper").agg(F.min("bag").alias("least"), F.max("bag").alias("most"))
-    several = least.where("least != most").select("paper", "least")
-    components = connected_components(near.unionByName(of_id.join(several, "paper").select(F.col("bag").alias("a"), F.col("least").alias("b"))))
-    with_bag = bagged.where("bag IS NOT NULL").withColumn("node", F.col("bag"))
-    without = bagged.where("bag IS NULL").join(least.select("paper", "least"), "paper", "left").withColumn("node", F.coalesce("least", F.concat(F.lit("i:"), F.col("paper")))).select(*with_bag.columns)
-    found = with_bag.unionByName(without).join(components, "node", "left").select("row_id", "batch_no", "key", F.coalesce("component", "node").alias("paper"))
-    return materialise(found)
-
-
-def same_papers(rows: DataFrame) -> DataFrame:
-    """(row_id, batch_no, paper): the component of each row of (row_id, batch_no, paper_id, title); null if it has no key."""
-    return paper_table(rows, TitleIndex()).select("row_id", "batch_no", "paper")
+    index = TitleIndex(rows.sparkSession)
+    if batches_at_once is None:
+        index.accept(rows)
+    else:
+        low, high = rows.agg(F.min("batch_no"), F.max("batch_no")).first()
+        for at in range(low, high + 1, batches_at_once) if low is not None else ():
+            index.accept(rows.where((F.col("batch_no") >= at) & (F.col("batch_no") < at + batches_at_once)))
+    return index.papers().select("row_id", "batch_no", "paper")
 
 
 def duplicates(papers: DataFrame) -> DataFrame:

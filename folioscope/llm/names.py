@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .canonical import edits, fold
 from .components import connected_components
-from .history import _probes, segments
+from .history import probes, segments
 
 MIN_SUFFIX = 4
 COMMON = 200
@@ -359,7 +359,7 @@ def _meeting_keys(word: str, part: str, stored: bool) -> set[str]:
             cut |= {w[:i] + w[i + 1 :] for w in cut for i in range(len(w))}
         keys |= {f"d {w}" for w in cut}
     if len(word) > DELETIONS_UP_TO - 2:  # longer words have too many deletions, but telling segments
-        keys |= {f"{len(word)} {i} {x}" for i, _, x in segments(word, 2)} if stored else {f"{n} {i} {x}" for n, i, x in _probes(word)}
+        keys |= {f"{len(word)} {i} {x}" for i, x in segments(word, 2)} if stored else {f"{n} {i} {x}" for n, i, x in probes(word)}
     return keys
 
 

@@ -15,6 +15,7 @@ from . import canonical, containers, history, linkage, names, spans, terms, toke
 
 CANONICAL_FIELDS = ["role_in_paper", "task_family", "domain", "language_coverage"]
 TERM_FIELDS = ["targeted_capability", "categories"]
+BATCHES_AT_ONCE = 16
 
 
 def _mapped(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
@@ -56,7 +57,7 @@ def p2_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "arxiv_results").select("row_id", "batch_no", F.col("arXiv ID").alias("paper_id"), F.col("Title").alias("title"))
-    return history.same_papers(rows)
+    return history.same_papers(rows, BATCHES_AT_ONCE)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
