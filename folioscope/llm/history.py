@@ -296,6 +296,10 @@ class TitleIndex:
         open_ = bags.where("size(options) > 0 AND size(fixed) > 1").select("key", "bag", "fixed", "options").mapInPandas(_exchanged, f"key string, bag string, sig string, subs {_SUBS}")
         return bags.select("key", "bag", F.col("bag").alias("sig"), F.array().cast(_SUBS).alias("subs"), "fixed", "ns").unionByName(open_, allowMissingColumns=True)
 
+    def rows(self) -> DataFrame:
+        """(row_id, batch_no, key, paper) of all accepted rows; ``paper`` is the identifier."""
+        return self.store.all("rows", _ROWS).select("row_id", "batch_no", "key", "paper")
+
     def bag_words(self) -> DataFrame:
         """(key, bag, fixed, ns): each title's corrected words and the number of titles that hold them."""
         return self.store.all("bags", _BAGS).where("sig = bag").groupBy("key").agg(F.min_by(F.struct("bag", "fixed", "ns"), "bag").alias("b")).select("key", "b.*")
@@ -317,7 +321,7 @@ class TitleIndex:
         Nodes are bags of words. An identifier is an edge from each of its bags to the least one, so the
         papers with one bag, nearly all, never enter the search for components.
         """
-        rows, links = self.store.all("rows", _ROWS).select("row_id", "batch_no", "key", "paper"), self.links()
+        rows, links = self.rows(), self.links()
         if before is not None:
             rows = rows.where(F.col("batch_no") < before)
             links = links.join(rows.select("key").distinct(), "key", "left_semi")
