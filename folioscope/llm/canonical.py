@@ -58,6 +58,8 @@ DECORATIONS = (
 
 def fold(s: str) -> str:
     """Compatibility forms, case, accents and look-alikes folded."""
+    if s.isascii():
+        return s.lower()
     s = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", s).casefold())
     return "".join(LOOK_ALIKES.get(c, c) for c in s if not unicodedata.combining(c))
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each greater node has one edge, to a node that is no greater one itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of (a, b): the least node of its component.
 
@@ -18,8 +24,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round is checkpointed reliably.
     """
     edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    # stars are done: each greater node has one edge, to a node that has no lesser one
-    while not (edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").unionByName(edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").select("a"))).isEmpty():
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

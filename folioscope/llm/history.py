@@ -66,9 +66,9 @@ EXCHANGED = 2
 
 def title_words(title: str) -> list[str]:
     """The sorted words of a title, folded; numbers keep their decimal point."""
-    s = re.sub(r"&#?\w+;", lambda m: html.unescape(m[0].lower()), title)
+    s = re.sub(r"&#?\w+;", lambda m: html.unescape(m[0].lower()), title) if "&" in title else title
     s = fold(re.sub(r"\\[A-Za-z]+\s*\{|[{}$]", "", s))
-    for _ in range(2):  # remarks may follow one another
+    for _ in range(2 if re.search(r"[\[(]|included", s) else 0):  # remarks may follow one another
         for r in REMARKS:
             s = re.sub(r, " ", s.rstrip(" .”\"'")) if r.endswith("$") else re.sub(r, " ", s)
     words = (w.strip(".") for w in re.findall(r"[^\W_]+(?:\.\d+)*", s))
@@ -257,7 +257,7 @@ class TitleIndex:
         near = near.join(counts.select(F.col("word").alias("probe"), F.col("n").alias("n_probe")), "probe").join(counts, "word")
         low, high = (f(F.struct(F.col("n_probe").alias("n"), F.col("probe").alias("w")), F.struct(F.col("n").alias("n"), F.col("word").alias("w"))) for f in (F.least, F.greatest))
         near = near.select(low.alias("x"), high.alias("y"), "edits").select(F.col("x.w").alias("u"), F.col("y.w").alias("v"), "edits", F.col("x.n").alias("nu"), F.col("y.n").alias("nv"))
-        s.write("near", near.distinct())
+        s.write("near", near)
         again = None
         if later:  # older titles one of whose words has a near word now that it may stand for
             gained = s.batch("near", _NEAR).select(F.col("u").alias("word")).distinct()
@@ -302,12 +302,17 @@ class TitleIndex:
 
     def bag_words(self) -> DataFrame:
         """(key, bag, fixed, ns): each title's corrected words and the number of titles that hold them."""
-        return self.store.all("bags", _BAGS).where("sig = bag").groupBy("key").agg(F.min_by(F.struct("bag", "fixed", "ns"), "bag").alias("b")).select("key", "b.*")
+        own = self.store.all("bags", _BAGS).where("sig = bag")
+        if len(self.store.batches) == 1:  # no title is signed twice
+            return own.select("key", "bag", "fixed", "ns")
+        return own.groupBy("key").agg(F.min_by(F.struct("bag", "fixed", "ns"), "bag").alias("b")).select("key", "b.*")
 
     def links(self) -> DataFrame:
         """(key, a, b): bags that a title shares, its own and those whose exchanged words, all of them, are one word by their use."""
-        # a title that is signed anew repeats its links
-        links = self.store.all("links", _LINKS).withColumn("link", F.xxhash64("key", "bag", "sig", "subs")).dropDuplicates(["link"])
+        # a title that is signed anew repeats its links, but not within a batch
+        links = self.store.all("links", _LINKS).withColumn("link", F.xxhash64("key", "bag", "sig", "subs"))
+        if len(self.store.batches) > 1:
+            links = links.dropDuplicates(["link"])
         plain = links.where("size(subs) = 0").select("key", F.col("bag").alias("a"), F.col("sig").alias("b"))
         one = links.where("size(subs) > 0").select("key", "bag", "sig", "link", F.size("subs").alias("of"), F.explode("subs").alias("x")).select("key", "bag", "sig", "link", "of", F.col("x.u").alias("u"), F.col("x.v").alias("v"), F.col("x.nu").alias("nu"))
         # the titles of the rarer word that meet the other
