@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import history as H
 from folioscope.llm.canonical import edits
@@ -42,30 +43,59 @@ def test_empty_table(spark):
 
 
 def test_segments_meet_whenever_words_are_near(spark, rng):
-    words = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(150)]
-    df = spark.createDataFrame([(i % 2, w) for i, w in enumerate(words)], "rest long, word string")
-    got = {(r.rest, r.probe, r.word) for r in H.probe_segments(df, H.store_segments(df)).collect()}
-    want = set()
-    for i, x in enumerate(words):
-        for j, y in enumerate(words):
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(250)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r.probe, r.word): r.edits for r in H.probe_segments(df, H.store_segments(df).withColumn("own", F.lit(False))).collect()}
+    want = {}
+    for x in words:
+        for y in words:
             most = min(H.word_edits(len(x)), H.word_edits(len(y)))
-            if i % 2 == j % 2 and x != y and edits(x, y, most) <= most and not all(set(w) <= set("ivxlc") for w in (x, y)):
-                want.add((i % 2, x, y))
-    roman = set("ivxlc")
-    want = {w for w in want if not set(w[1]) <= roman and not set(w[2]) <= roman}
-    assert got == want
+            if x != y and (n := edits(x, y, most)) <= most and not any(set(w) <= set("ivxlc") for w in (x, y)):
+                want[x, y] = n
+    assert got == want and want
+    once = H.probe_segments(df, H.store_segments(df).withColumn("own", F.lit(True))).collect()
+    assert {(r.probe, r.word) for r in once} == {(x, y) for x, y in want if x < y} and len(once) * 2 == len(want)
+
+
+def pairs(spark, rows, **kw):
+    return {(r.row_id_a, r.row_id_b) for r in H.duplicates(H.same_papers(frame(spark, rows), **kw)).collect()}
 
 
 def test_batches_give_what_all_rows_give(spark):
-    def bags(rows):
-        return H.title_bags(H.keyed_titles(H.title_table(frame(spark, rows))))
-
-    whole = H.TitleIndex()
-    want = {tuple(sorted((r.a, r.b))) for r in whole.accept(bags(FILLER + ROWS)).collect()}
-    parts, got = H.TitleIndex(), set()
-    for rows in (FILLER, ROWS[:4], ROWS[4:]):
-        got |= {tuple(sorted((r.a, r.b))) for r in parts.accept(bags(rows)).collect()}
-    assert got == want and want
+    rows = FILLER + [(r, b + 1, i, t) for r, b, i, t in ROWS]
+    want = pairs(spark, rows)
+    assert want and pairs(spark, rows, batches_at_once=1) == want and pairs(spark, rows, batches_at_once=2) == want
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    """A version in a later batch under another title, and an interrupted batch."""
+    path = f"file://{tmp_path}/index"
+    H.TitleIndex(spark, path).accept(frame(spark, FILLER + ROWS[:1]))
+    again = H.TitleIndex(spark, path)
+    again.store.write("rows", again.store.before("rows", H._ROWS))  # a batch without its mark doesn't count
+    third = H.TitleIndex(spark, path)
+    third.accept(frame(spark, [(50, 9, "arXiv:2101.000001v4", "Quite Another Title"), (51, 9, None, BASE.format("Prishuyumi"))]))
+    assert {(r.row_id_a, r.row_id_b) for r in H.duplicates(H.TitleIndex(spark, path).papers()).collect()} == {(1, 50), (1, 51)}
+
+
+@pytest.mark.parametrize("n", [8, 60])
+def test_frequent_misspelling_of_a_frequent_word(spark, n):
+    """Both spellings stand in n titles each: that they stand in each other's place tells, whatever n is."""
+    rows = [(k * n + i, k, None, f"The {w} {'abcdefghijklmnopqrst'[i % 20] * 5}{'uvwxyz'[i // 20] * 4} report") for k, w in enumerate(("Zalgrobanti", "Zalgrobenti")) for i in range(n)]
+    assert pairs(spark, rows) == {(i, n + i) for i in range(n)}
+
+
+def test_frequent_near_names_stay_apart(spark):
+    """Two names in many titles each, of which few agree otherwise."""
+    rows = [(k * 40 + i, 0, None, f"The {w} {'abcdefghijklmnopqrst'[(i + 21 * k) % 20] * 5}{'uvwxyz'[i // 20 + 2 * k] * 4} report") for k, w in enumerate(("Zalgrobanti", "Zalgrobenti")) for i in range(40)]
+    rows += [(900, 1, None, "The Zalgrobanti common report"), (901, 1, None, "The Zalgrobenti common report")]
+    assert pairs(spark, rows) == set()
+
+
+def test_typing_errors_in_two_rare_words(spark):
+    rows = [(1, 0, None, "The Prishuyuni guide to Zalgrobanti"), (2, 1, None, "The Prishuyumi guide to Zalgrobenti"), (3, 1, None, "The Other guide to Zalgrobenti"), (4, 2, None, "The Prishuyumi guide to Zalgrobanti")]
+    for at_once in (None, 1):
+        assert pairs(spark, rows, batches_at_once=at_once) == {(1, 2), (1, 4)}
 
 
 @pytest.mark.parametrize("text,words", [("A {B}ig \\emph{Red} dog.", ["a", "big", "dog", "red"]), ("X 2.0 [preprint] - Supplement included", ["2.0", "x"]), ("&AMP; ﬁne—grained", ["fine", "grained"]), ("...", [])])
