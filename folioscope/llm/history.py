@@ -35,14 +35,13 @@ columns are not carried along.
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 from itertools import combinations, product
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,7 +157,9 @@ def probe_segments(words: DataFrame, index: DataFrame) -> DataFrame:
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # few rows that make many: over all tasks, however small they are
     asked = words.where(_editable(F.col("word"))).select("word").repartition(tasks, "word").mapInPandas(_probing, f"probe string, {_KEY}")
-    met = asked.withColumnRenamed("letters", "bits").join(index, ["len", "slot", "segment"])
+    # one number for the place and text of a segment: what meets by chance is verified like all others
+    place = F.hash("len", "slot", "segment").alias("place")
+    met = asked.select(place, "probe", F.col("letters").alias("bits")).join(index.select(place, "word", "letters", "own"), "place")
     most = F.when(F.least(F.length("probe"), F.length("word")) < 6, 1).otherwise(2)
     # a transposition is one edit here and two of Levenshtein's, and leaves the letters as they are
     other, far = F.bit_count(F.col("bits").bitwiseXOR(F.col("letters"))), F.levenshtein("probe", "word", 4)
@@ -187,23 +188,25 @@ def title_table(rows: DataFrame) -> DataFrame:
 
 
 def digest(c: Column) -> Column:
-    """128 bits of a text as 22 letters."""
-    return F.substring(F.base64(F.unhex(F.md5(c))), 1, 22)
+    """64 bits of a text: among a thousand million different titles less than a pair is expected to share them."""
+    return F.xxhash64(c)
 
 
-def _bag(words: list[str]) -> str:
-    return base64.b64encode(hashlib.md5(" ".join(sorted(words)).encode()).digest()).decode()[:22]
+def _bag(words: list[str]) -> int:
+    """What :func:`digest` gives for the sorted words."""
+    h = xxhash.xxh64_intdigest(" ".join(sorted(words)).encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-_ROWS = "row_id long, batch_no int, paper string, words array<string>, key string"
-_TITLES = "key string, words array<string>"
+_ROWS = "row_id long, batch_no int, paper string, words array<string>, key long"
+_TITLES = "key long, words array<string>"
 _WORDS = "word string, n long"
 _SEGMENTS = f"word string, {_KEY}"
 _NEAR = "u string, v string, edits int, nu long, nv long"
 _SUBS = "array<struct<u:string,v:string,nu:bigint,nv:bigint>>"
 _OPTIONS = "array<struct<v:string,nu:bigint,nv:bigint>>"
-_BAGS = f"key string, bag string, sig string, subs {_SUBS}, fixed array<string>, ns array<bigint>"
-_LINKS = f"key string, bag string, sig string, subs {_SUBS}"
+_BAGS = f"key long, bag long, sig long, subs {_SUBS}, fixed array<string>, ns array<bigint>"
+_LINKS = f"key long, bag long, sig long, subs {_SUBS}"
 
 
 def _exchanged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +296,7 @@ class TitleIndex:
         parts = one.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("to", "n", "options"))).alias("parts"))  # the words of one title
         near_at = F.transform("parts", lambda p, i: F.transform(F.coalesce(p.options, F.array().cast(_OPTIONS)), lambda o: F.struct(i.alias("at"), o.v.alias("v"), o.nu.alias("nu"), o.nv.alias("nv"))))
         bags = parts.select("key", digest(F.array_join("parts.to", " ")).alias("bag"), F.col("parts.to").alias("fixed"), F.col("parts.n").alias("ns"), F.flatten(near_at).alias("options"))
-        open_ = bags.where("size(options) > 0 AND size(fixed) > 1").select("key", "bag", "fixed", "options").mapInPandas(_exchanged, f"key string, bag string, sig string, subs {_SUBS}")
+        open_ = bags.where("size(options) > 0 AND size(fixed) > 1").select("key", "bag", "fixed", "options").mapInPandas(_exchanged, f"key long, bag long, sig long, subs {_SUBS}")
         return bags.select("key", "bag", F.col("bag").alias("sig"), F.array().cast(_SUBS).alias("subs"), "fixed", "ns").unionByName(open_, allowMissingColumns=True)
 
     def rows(self) -> DataFrame:
@@ -336,7 +339,7 @@ class TitleIndex:
         several = least.where("least != most").select("paper", "least")
         components = connected_components(links.select("a", "b").unionByName(of_id.join(several, "paper").select(F.col("bag").alias("a"), F.col("least").alias("b"))))
         with_bag = bagged.where("bag IS NOT NULL").withColumn("node", F.col("bag"))
-        without = bagged.where("bag IS NULL").join(least.select("paper", "least"), "paper", "left").withColumn("node", F.coalesce("least", F.concat(F.lit("i:"), F.col("paper")))).select(*with_bag.columns)
+        without = bagged.where("bag IS NULL").join(least.select("paper", "least"), "paper", "left").withColumn("node", F.coalesce("least", F.when(F.col("paper").isNotNull(), F.xxhash64(F.lit("i"), "paper")))).select(*with_bag.columns)
         return with_bag.unionByName(without).join(components, "node", "left").select("row_id", "batch_no", "key", F.coalesce("component", "node").alias("paper"))
 
     def drop(self) -> None:
