@@ -3,10 +3,10 @@
 Method: recursive radix spilling. The terms of each record are counted within the record, so a row is
 (field, term, occurrences) and stands for one record. Rows are combined in every task before they
 move, so a term that stands in a third of all records sends a row a task, not a row a record. The
-combined rows are partitioned on disk, in the shared folder, by the leading bits of their hash. A
-partition of more than ``PARTITION_ROWS`` rows is split by the next bits, again and again, until each
-is small enough or holds one term. DuckDB then aggregates each partition out of core, with a memory
-limit and its spill folder in the shared folder.
+combined rows are moved once, by the leading bits of their hash, and written as one folder a partition
+below the shared folder. A partition of more than ``PARTITION_ROWS`` rows is read again and split by the next bits, again
+and again, until each is small enough or holds one term; the others stay as they are. DuckDB then
+aggregates each partition from its folder, out of core: with a memory limit and a spill folder beside it.
 
 Defined results: null and blank values are no terms; a term is trimmed, its inner white space is one
 blank, its letters are lower case; every row of a table is a record, repeated rows too; null lists hold
@@ -15,7 +15,6 @@ no terms; an empty table gives no rows; other columns are not carried along.
 
 from __future__ import annotations
 
-import os
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -45,15 +44,15 @@ def record_terms(lists: DataFrame) -> DataFrame:
     return lists.select("field_name", terms.alias("terms")).select("field_name", F.explode(counted).alias("t")).select("field_name", "t.term", "t.occurrences")
 
 
-def _aggregate(rows: pa.Table | pa.RecordBatchReader, spill: str | None):
+def _aggregate(rows: pa.Table | pa.RecordBatchReader, spill: str):
+    """``spill``: DuckDB's folder for what exceeds its memory; empty where the rows are bounded."""
     import duckdb
 
     con = duckdb.connect()
     con.execute("SET threads = 1")
     con.execute(f"SET memory_limit = '{MEMORY}'")
     con.execute("SET preserve_insertion_order = false")
-    if spill:
-        con.execute(f"SET temp_directory = '{spill}'")
+    con.execute(f"SET temp_directory = '{spill}'")
     con.register("input_rows", rows)
     out = con.sql("SELECT field_name, term, sum(occurrences)::BIGINT AS occurrences, sum(records)::BIGINT AS records FROM input_rows GROUP BY field_name, term").to_arrow_table()
     con.close()
@@ -67,63 +66,62 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(b)
         n += b.num_rows
         if n >= COMBINE_ROWS:
-            yield from _aggregate(pa.Table.from_batches(held), None)
+            yield from _aggregate(pa.Table.from_batches(held), "")
             held, n = [], 0
     if held:
-        yield from _aggregate(pa.Table.from_batches(held), None)
+        yield from _aggregate(pa.Table.from_batches(held), "")
 
 
-def _aggregator(folder: str | None):
+def _aggregator(tasks: list[list[str]]):
+    """Task k aggregates the partitions of ``tasks[k]``, folder by folder."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            yield first
-            yield from batches
-
-        spill = None
-        if folder:
-            spill = os.path.join(folder, f"duckdb-{uuid.uuid4().hex}")
-            os.makedirs(spill, exist_ok=True)
-        try:
-            yield from _aggregate(pa.RecordBatchReader.from_batches(first.schema, rows()), spill)
-        finally:
-            if spill:
-                shutil.rmtree(spill, ignore_errors=True)
+        from pyarrow import dataset, fs
+
+        for b in batches:
+            for folder in (x for k in b.column(0).to_pylist() for x in tasks[k]):
+                files, path = fs.FileSystem.from_uri(folder)
+                rows = dataset.dataset(path, filesystem=files, format="parquet").scanner(columns=["field_name", "term", "occurrences", "records"]).to_reader()
+                # a folder that isn't mounted can't hold DuckDB's spill: the partition's size alone bounds memory there
+                spill = f"{path}/_spill-{uuid.uuid4().hex}" if isinstance(files, fs.LocalFileSystem) else ""
+                yield from _aggregate(rows, spill)
+                if spill:
+                    shutil.rmtree(spill, ignore_errors=True)
 
     return run
 
 
+def radix_partitions(rows: DataFrame, path: str, bits: int, partition_rows: int) -> list[str]:
+    """The folders of the partitions of (..., h), none with more than ``partition_rows`` rows of different hashes."""
+    spark, schema = rows.sparkSession, rows.withColumn("leaf", F.lit(0).cast("long")).schema
+    folders, level = [], 0
+    while True:
+        at = f"{path}/level={level}"
+        rows.withColumn("leaf", F.shiftrightunsigned("h", 64 - bits)).repartition("leaf").write.partitionBy("leaf").parquet(at)
+        written = spark.read.schema(schema).parquet(at)
+        sizes = written.groupBy("leaf").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).collect()  # a row a partition
+        over = [r["leaf"] for r in sizes if r["n"] > partition_rows and r["lo"] < r["hi"] and bits + NEXT_BITS <= 60]
+        folders += [f"{at}/leaf={r['leaf']}" for r in sorted(sizes, key=lambda r: -r["n"]) if r["leaf"] not in over]
+        if not over:
+            return folders
+        rows, bits, level = written.where(F.col("leaf").isin(over)).drop("leaf"), bits + NEXT_BITS, level + 1
+
+
 def term_counts(lists: DataFrame, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """(field_name, term, occurrences, records) of every term of (field_name, items array)."""
     spark = lists.sparkSession
     one = record_terms(lists).withColumn("records", F.lit(1).cast("long"))
     combined = one.mapInArrow(_combine, _COMBINED).withColumn("h", F.xxhash64("field_name", "term"))
     # a few partitions for each task of the shuffle, however large the cluster is
-    bits = max(FIRST_BITS, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    leaf = F.shiftrightunsigned("h", 64 - bits)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "terms")
-    combined.withColumn("leaf", leaf).repartition("leaf").write.parquet(path)
-    rows = spark.read.parquet(path).withColumn("bits", F.lit(bits))
-    while bits + NEXT_BITS <= 60:
-        sizes = rows.groupBy("leaf", "bits").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        over = materialise(sizes.where((F.col("bits") == bits) & (F.col("n") > partition_rows) & (F.col("lo") < F.col("hi"))).select("leaf", "bits", F.lit(True).alias("over")))
-        if over.isEmpty():
-            break
-        # one row per oversized partition: the rows of all data over partition_rows
-        deeper = F.shiftrightunsigned("h", 64 - bits - NEXT_BITS)
-        rows = rows.join(F.broadcast(over), ["leaf", "bits"], "left")
-        rows = rows.withColumn("leaf", F.when(F.col("over"), deeper).otherwise(F.col("leaf"))).withColumn("bits", F.when(F.col("over"), F.lit(bits + NEXT_BITS)).otherwise(F.col("bits"))).drop("over")
-        bits += NEXT_BITS
-    shared = scratch_path(spark, "spill")
-    folder = shared.removeprefix("file://") if shared.startswith(("file:", "/")) else None  # elsewhere the partitions' size alone bounds memory
-    counted = rows.repartition("leaf", "bits").select("field_name", "term", "occurrences", "records").mapInArrow(_aggregator(folder), _COMBINED)
-    counted = materialise(counted)
+    folders = radix_partitions(combined, path, max(FIRST_BITS, (4 * width - 1).bit_length()), partition_rows)
+    if not folders:
+        drop_path(spark, path)
+        return spark.createDataFrame([], _COMBINED)
+    n = min(len(folders), max(width, len(folders) // 16))
+    counted = materialise(spark.range(0, n, 1, n).mapInArrow(_aggregator([folders[k::n] for k in range(n)]), _COMBINED))
     drop_path(spark, path)
-    if folder:
-        drop_path(spark, shared)
     return counted
 
 
