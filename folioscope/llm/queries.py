@@ -122,7 +122,12 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("shared_chars", zero).alias("shared_chars"), F.coalesce("repeated_chars", zero).alias("repeated_chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared}
+def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that stay if of equal lines the earliest alone is kept, at their original offsets."""
+    return spans.kept_lines(spans.line_units(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared, "p9_lines": p9_lines}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_keywords": r"""

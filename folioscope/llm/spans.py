@@ -15,6 +15,14 @@ texts are compared in pairs. Units in more texts (boilerplate shorter than a pas
 each occurrence gives the digests of the passages of exactly ``SPAN`` characters that contain it, and
 texts meet only where they share such a passage.
 
+The pieces that passages are made of come from at most ``PAIRS_UP_TO`` comparisons an occurrence, or
+from passage digests, so the stretches of each document take work in proportion to the texts; only
+:meth:`SharedSpans.pairs` makes pairs, because pairs are what is asked.
+
+Whole lines are the other kind of unit (:func:`line_units`): normalised, digested and grouped globally, with the
+earliest occurrence told from the rest, which :func:`kept_lines` removes while offsets stay those of the
+original text.
+
 Copies of whole texts are one class each, represented by the row of least id.
 
 Defined results: null, empty and shorter texts share nothing; repeated rows and copies share all of
@@ -24,6 +32,7 @@ offset; other columns are not carried along. Offsets count code points from 0.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +47,7 @@ SPAN = 200
 GRAM = 100
 WINDOW = SPAN - GRAM + 1
 PAIRS_UP_TO = 64
+LINE = 40
 CHUNK_CHARS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -153,7 +163,9 @@ class SharedSpans:
         self.span, self.gram, self.window, self.pairs_up_to = span, gram, span - gram + 1, pairs_up_to
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.classes = materialise(text_classes(self.docs, span))
-        self.links = materialise(self._links())
+        occurrences = self._occurrences()
+        self.links = materialise(self._verified_pairs(occurrences))
+        self._common_passages(occurrences)
 
     def _occurrences(self) -> DataFrame:
         """(h, doc_id, pos, before, ctx, n): units that stand in two or more classes, with what surrounds them."""
@@ -178,9 +190,8 @@ class SharedSpans:
         with_text = self.docs.join(per_doc, "doc_id").dropDuplicates(["doc_id"])
         return materialise(with_text.select("doc_id", "text", "units").mapInPandas(around, "h long, doc_id long, pos int, before int, ctx string, m long"))
 
-    def _links(self) -> DataFrame:
-        """Verified pieces of common passages, between class representatives."""
-        occ = self._occurrences()
+    def _verified_pairs(self, occ: DataFrame) -> DataFrame:
+        """Verified pieces of common passages around units of few texts, between class representatives."""
         span, gram, window = self.span, self.gram, self.window
         few = occ.where(F.col("m") <= self.pairs_up_to)
         a, b = (few.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "pos", "before", "ctx"))) for s in "ab")
@@ -198,7 +209,11 @@ class SharedSpans:
                         rows.append((da, db, pa_ - left, pb - left, left + right))
                 yield pd.DataFrame(rows, columns=["doc_id_a", "doc_id_b", "start_a", "start_b", "n_chars"])
 
-        verified = pairs.drop("h").mapInPandas(verify, _LINKS)
+        return pairs.drop("h").mapInPandas(verify, _LINKS).distinct()
+
+    def _common_passages(self, occ: DataFrame) -> None:
+        """The passages around units of many texts: ``held`` by (passage, doc_id), ``boilerplate`` as pieces of documents."""
+        span, window = self.span, self.window
 
         def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
@@ -209,16 +224,15 @@ class SharedSpans:
 
         many = occ.where(F.col("m") > self.pairs_up_to).select("doc_id", "pos", "before", "ctx").mapInPandas(passages, "passage string, doc_id long, start int")
         many = materialise(many.select(F.sha2("passage", 256).alias("passage"), "doc_id", "start").distinct())
-        held = many.groupBy("passage", "doc_id").agg(F.min("start").alias("start"))
-        first = held.groupBy("passage").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        self.held = many.groupBy("passage", "doc_id").agg(F.min("start").alias("start"))
+        first = self.held.groupBy("passage").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         self.boilerplate = many.join(first, "passage").select("doc_id", "start", (F.col("start") + span).alias("end"), (F.col("doc_id") != F.col("first")).alias("later"))
-        ma, mb = (held.select("passage", F.col("doc_id").alias(f"doc_id_{s}"), F.col("start").alias(f"start_{s}")) for s in "ab")
-        shared = ma.join(mb, "passage").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b", "start_a", "start_b", F.lit(span).alias("n_chars"))
-        return verified.unionByName(shared).distinct()
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b) of all rows, copies included, that have a common passage."""
-        rep_pairs = self.links.select(F.col("doc_id_a").alias("ra"), F.col("doc_id_b").alias("rb")).distinct()
+        x, y = (self.held.select("passage", F.col("doc_id").alias(s)) for s in ("ra", "rb"))
+        common = x.join(y, "passage").where("ra < rb").select("ra", "rb")
+        rep_pairs = self.links.select(F.col("doc_id_a").alias("ra"), F.col("doc_id_b").alias("rb")).unionByName(common).distinct()
         a = self.classes.select(F.col("rep").alias("ra"), F.col("doc_id").alias("a"))
         b = self.classes.select(F.col("rep").alias("rb"), F.col("doc_id").alias("b"))
         across = rep_pairs.join(a, "ra").join(b, "rb").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
@@ -249,3 +263,36 @@ class SharedSpans:
         all_, late = merged(pieces), merged(pieces.where("later"))
         inside = all_.alias("x").join(late.alias("y"), F.expr("x.doc_id = y.doc_id AND y.start >= x.start AND y.end <= x.end"), "left")
         return inside.groupBy("x.doc_id", "x.start", "x.end").agg(F.coalesce(F.sum(F.expr("y.end - y.start")), F.lit(0)).alias("repeated")).select("doc_id", "start", (F.col("end") - F.col("start")).alias("n_chars"), "repeated")
+
+
+_UNITS = "doc_id long, start int, n_chars int, digest binary"
+
+
+def line_units(docs: DataFrame, least: int = LINE) -> DataFrame:
+    """(doc_id, start, n_chars, digest, repeated): the lines of (doc_id, text) with ``least`` characters or more once normalised.
+
+    Normalised: case folded, white space collapsed. ``repeated``: an earlier line, by document and offset, has
+    the same digest. A line that stands in a third of all texts is counted in every task, and joined back as one row.
+    """
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, starts, sizes, digests = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = 0
+                for line in text.split("\n"):
+                    plain = " ".join(line.casefold().split())
+                    if len(plain) >= least:
+                        ids.append(doc), starts.append(at), sizes.append(len(line)), digests.append(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    at += len(line) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "start", "n_chars", "digest"])
+
+    found = docs.where(F.length("text") >= least).select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct().mapInArrow(units, _UNITS)
+    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "first")
+    marked = found.join(first, "digest", "left")
+    return marked.select("doc_id", "start", "n_chars", "digest", F.coalesce(F.struct("doc_id", "start") > F.col("first"), F.lit(False)).alias("repeated"))
+
+
+def kept_lines(units: DataFrame) -> DataFrame:
+    """(doc_id, start, n_chars) of the lines that stay if of equal ones the earliest alone is kept."""
+    return units.where("NOT repeated").select("doc_id", "start", "n_chars")
