@@ -118,3 +118,13 @@ def test_edge_cells(spark):
 @pytest.mark.parametrize("a,b,ratio", [("abcd", "abcd", 1.0), ("abcd", "abd", 6 / 7), ("", "a", 0.0), ("abcd", "dcba", 0.25)])
 def test_lcs_ratio(a, b, ratio):
     assert N.lcs_ratio(a, b) == pytest.approx(ratio)
+
+
+@pytest.mark.parametrize("n", [150, 250])
+def test_many_names_with_one_ending_stay_apart(spark, rng, n):
+    """However many people share given name and end of the surname, nobody is linked unseen."""
+    people = [f"John {''.join(rng.choice('bcdfghjklmnpqrstvwxyz') for _ in range(8)).title()}mann" for _ in range(n)]
+    twins = [people[0].replace("mann", "man"), people[1].replace("John", "Jonh")]
+    df = spark.createDataFrame([(x,) for x in {*people, *twins}], "name string")
+    got = {(r.name_a, r.name_b) for r in N.entity_pairs(N.person_entities(N.distinct_names(df))).collect()}
+    assert got == {tuple(sorted(p)) for p in zip(people, twins)}

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from folioscope.llm.spans import SharedSpans
+from folioscope.llm.spans import SharedSpans, kept_lines, line_units
 
 SPAN, GRAM = 20, 10
 
@@ -67,3 +67,13 @@ def test_repeated_rows_and_empty_tables(spark):
     assert SharedSpans(df, SPAN, GRAM).pairs().count() == 0
     assert SharedSpans(df.limit(0), SPAN, GRAM).pairs().count() == 0
     assert SharedSpans(df.limit(0), SPAN, GRAM).passages().count() == 0
+
+
+def test_lines(spark):
+    """Of equal lines the earliest stays; offsets are those of the text; short and blank lines are no units."""
+    docs = [(1, "one Long line here\n\nshort\nanother long line"), (2, "ONE  long line HERE \nsomething else, long"), (3, "x\none long line here"), (3, "x\none long line here"), (4, None), (5, ""), (6, "long " * 3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    units = line_units(df, 10)
+    assert sorted((r.doc_id, r.start, r.n_chars, r.repeated) for r in units.collect()) == [(1, 0, 18, False), (1, 26, 17, False), (2, 0, 20, True), (2, 21, 20, False), (3, 2, 18, True), (6, 0, 15000, False)]
+    assert sorted((r.doc_id, r.start) for r in kept_lines(units).collect()) == [(1, 0), (1, 26), (2, 21), (6, 0)]
+    assert line_units(df.limit(0)).count() == 0
