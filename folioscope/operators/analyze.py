@@ -163,3 +163,50 @@ def report_sections(df: DataFrame, single: list[str], multi: list[str]) -> DataF
     parts = [value_counts(df, c).select(F.lit(c).alias("section"), "value", "n") for c in single]
     parts += [token_counts(df, c).select(F.lit(c).alias("section"), "value", "n") for c in multi]
     return reduce(DataFrame.unionByName, parts)
+
+
+def keyword_share(df: DataFrame, column: str, word: str) -> DataFrame:
+    """(pct): percentage of the rows whose text holds the word, null for no rows."""
+    return df.agg((F.try_divide(F.count_if(icontains(F.col(column), word)), F.count("*")) * 100.0).alias("pct"))
+
+
+def has_values(df: DataFrame, *columns: str) -> DataFrame:
+    """(column, any): whether a column has a value in any row; a column that isn't there has none."""
+    there = [c for c in columns if c in df.columns]
+    one = df.agg(*(F.coalesce(F.max(F.col(f"`{c}`").isNotNull()), F.lit(False)).alias(c) for c in there)) if there else df.agg(F.lit(0))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), (F.col(f"`{c}`") if c in there else F.lit(False)).alias("any")) for c in columns))).alias("e")).select("e.*")
+
+
+def analysis_report(df: DataFrame, single: list[str], multi: list[str], date_column: str = "publication_date", flag: str = "is_dataset_paper") -> DataFrame:
+    """(section, value, n, n_accepted, pct) of the whole analysis, in one pass over the rows and one aggregation.
+
+    Every row gives its pairs of section and value: a pair a single-value column (nulls too), a pair a token of a
+    multi-value column, its year, its yes or no, the subsets it is in and the columns it fills. Pairs are counted in
+    every task before they move, so the shuffle has a row a distinct value and task. ``n_accepted`` counts the rows
+    that say yes: the charts' data. ``pct`` is over all rows; a section of tokens has none. Null values are the empty
+    sections' totals: the row (``rows``, null) counts all rows.
+    """
+    single, multi = [c for c in single if has(df, c)], [c for c in multi if has(df, c)]
+
+    def pair(section: str, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), value.cast("string").alias("value"))
+
+    pairs = [F.array(pair("rows", F.lit(None)))]
+    pairs += [F.array(pair(c, F.col(f"`{c}`"))) for c in single]
+    pairs += [F.transform(tokens(F.col(f"`{c}`")), lambda x, c=c: pair(c, x)) for c in multi]
+    if has(df, date_column):
+        year = F.year(date_of(F.col(f"`{date_column}`")))
+        pairs.append(F.when(year.isNotNull(), F.array(pair("year", year))))
+        if has(df, "llm_involvement"):
+            pairs.append(F.when(year.isNotNull() & llm_involved(F.col("llm_involvement")), F.array(pair("year with LLM", year))))
+    if has(df, flag):
+        pairs.append(F.array(pair("classification", F.when(is_yes(F.col(flag)), "positive").otherwise("other"))))
+    pairs += [F.when(p, F.array(pair("subset", F.lit(k)))) for k, p in subset_predicates(df).items()]
+    pairs += [F.when(F.col(f"`{c}`").isNotNull(), F.array(pair("present", F.lit(c)))) for c in df.columns if c not in ID_COLUMNS]
+    yes = is_yes(F.col(flag)) if has(df, flag) else F.lit(True)
+    nothing = F.array().cast("array<struct<section:string,value:string>>")
+    one = df.select(yes.alias("yes"), F.explode(F.flatten(F.array(*(F.coalesce(p, nothing) for p in pairs)))).alias("p"))
+    counts = one.groupBy("p.section", "p.value").agg(F.count("*").alias("n"), F.count_if("yes").alias("n_accepted"))
+    total = counts.where("section = 'rows'").agg(F.max("n")).scalar()
+    whole = F.when(~F.col("section").isin(*multi), pct(F.col("n"), total)) if multi else pct(F.col("n"), total)
+    return counts.select("section", "value", "n", "n_accepted", whole.alias("pct"))

@@ -13,9 +13,9 @@ and the cheapest one is taken. The code lengths come from the whole column:
 
 Distinct cells are counted, not occurrences: a packed cell that stands in a third of all rows
 is one piece of evidence, while its values recur in other cells.
-Both tables are aggregated over all cells; cells with one candidate need no pricing. The plan has
-one pass for the statistics, one for the candidates of distinct ambiguous cells and one for the
-final parse; nothing is collected.
+Both tables are aggregated over all cells; cells with one candidate need no pricing. Each distinct cell is
+parsed once: its candidates are kept, priced by joins, and the chosen values are joined back to the rows,
+so no row is parsed again. Nothing is collected.
 
 Defined results: a missing cell (null, blank, NA token) gives no rows; empty pieces are dropped and
 not counted; repeated values are kept; a cell without a delimiter is one value; ties between
@@ -26,15 +26,15 @@ not carried along, so their names cannot clash.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
+from ..session import materialise
 
 CHAR_BITS = 4.5
 
@@ -198,61 +198,36 @@ def packed_cells(df: DataFrame, field: str, id_col: str, cell_col: str) -> DataF
     return df.select(F.lit(field).alias("field_name"), F.col(f"`{id_col}`").cast("long").alias("rec_id"), c.alias("cell")).where(~is_missing(c))
 
 
-_STATS = "field_name string, kind string, value string, w double"
-_CANDIDATES = "field_name string, cell string, choice int, n int, dialect string, item string, shape string"
-_ITEMS = "field_name string, rec_id long, items array<string>"
-
-
-def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Weights of values and shapes, combined within the batch before they are shuffled."""
-    for b in batches:
-        w: Counter = Counter()
-        for field, cell in zip(b["field_name"], b["cell"], strict=True):
-            options = parses(cell, RULES[field])
-            for _, values in options:
-                for v in values:
-                    w[field, "value", v] += 1 / len(options)
-                    w[field, "shape", shape(v)] += 1 / len(options)
-        yield pd.DataFrame([(*k, v) for k, v in w.items()], columns=["field_name", "kind", "value", "w"])
+_CANDIDATES = "field_name string, cell string, choice int, options int, dialect string, items array<string>, shapes array<string>"
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for field, cell in zip(b["field_name"], b["cell"], strict=True):
-            options = parses(cell, RULES[field])
-            if len(options) > 1:
-                rows += [(field, cell, k, len(values), name, v, shape(v)) for k, (name, values) in enumerate(options) for v in values]
-        yield pd.DataFrame(rows, columns=["field_name", "cell", "choice", "n", "dialect", "item", "shape"])
+            found = parses(cell, RULES[field])
+            rows += [(field, cell, k, len(found), name, list(values), [shape(v) for v in values]) for k, (name, values) in enumerate(found)]
+        yield pd.DataFrame(rows, columns=["field_name", "cell", "choice", "options", "dialect", "items", "shapes"])
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for field, rec, cell, choice in zip(b["field_name"], b["rec_id"], b["cell"], b["choice"], strict=True):
-            options = parses(cell, RULES[field])
-            if options:
-                rows.append((field, rec, list(options[int(choice)][1])))
-        yield pd.DataFrame(rows, columns=["field_name", "rec_id", "items"])
+def candidate_parses(cells: DataFrame) -> DataFrame:
+    """(field_name, cell, choice, options, dialect, items, shapes): every candidate parse of each distinct cell, kept in the shared folder."""
+    return materialise(cells.select("field_name", "cell").distinct().mapInPandas(_candidates, _CANDIDATES))
 
 
-def _packed() -> Column:
-    """False for a cell that is one value as it stands, whatever the dialect."""
-    blank = [f for f, r in RULES.items() if r.blank]
-    return F.col("cell").rlike(r"[;；|\n,/+&\"“\[(]|\s(?:and)\s|^\s*[-*•‣▪–]\s") | (F.col("field_name").isin(blank) & F.col("cell").rlike(r"(?U)\s"))
+def priced_parses(candidates: DataFrame) -> DataFrame:
+    """(field_name, cell, choice, dialect, bits): the cheapest parse of each distinct ambiguous cell."""
 
+    def coded(column: str, name: str) -> DataFrame:
+        w = candidates.select("field_name", F.explode(column).alias(name), (1 / F.col("options")).alias("w")).groupBy("field_name", name).agg(F.sum("w").alias("w"))
+        totals = w.groupBy("field_name").agg(F.sum("w").alias("total"))
+        return w.join(F.broadcast(totals), "field_name").withColumn("bits", F.log2("total") - F.log2("w"))  # totals: a row a field
 
-def cheapest_dialects(cells: DataFrame) -> DataFrame:
-    """(field_name, cell, choice, dialect, bits): the cheapest parse of each distinct ambiguous cell."""
-    distinct = cells.select("field_name", "cell").distinct()
-    stats = distinct.mapInPandas(_statistics, _STATS).groupBy("field_name", "kind", "value").agg(F.sum("w").alias("w"))
-    totals = stats.groupBy("field_name", "kind").agg(F.sum("w").alias("total"))
-    coded = stats.join(F.broadcast(totals), ["field_name", "kind"]).withColumn("bits", F.log2("total") - F.log2("w"))  # totals: two rows a field
-    values = coded.where("kind = 'value'").select("field_name", F.col("value").alias("item"), (F.col("bits") + CHAR_BITS * F.length("value") / F.col("w")).alias("value_bits"))
-    shapes = coded.where("kind = 'shape'").select("field_name", F.col("value").alias("shape"), F.col("bits").alias("shape_bits"))
+    values = coded("items", "item").select("field_name", "item", (F.col("bits") + CHAR_BITS * F.length("item") / F.col("w")).alias("value_bits"))
+    shapes = coded("shapes", "shape").select("field_name", "shape", F.col("bits").alias("shape_bits"))
+    open_ = candidates.where("options > 1").select("field_name", "cell", "choice", "dialect", F.explode(F.arrays_zip("items", "shapes")).alias("x"))
     priced = (
-        distinct.where(_packed())
-        .mapInPandas(_candidates, _CANDIDATES)
+        open_.select("field_name", "cell", "choice", "dialect", F.col("x.items").alias("item"), F.col("x.shapes").alias("shape"))
         .join(values, ["field_name", "item"])
         .join(shapes, ["field_name", "shape"])
         .withColumn("bits", F.least("value_bits", F.col("shape_bits") + CHAR_BITS * F.length("item")))
@@ -261,16 +236,21 @@ def cheapest_dialects(cells: DataFrame) -> DataFrame:
     return parsed.groupBy("field_name", "cell").agg(F.min_by(F.struct("choice", "dialect", "bits"), F.struct("bits", "choice")).alias("best")).select("field_name", "cell", "best.*")
 
 
+def cheapest_dialects(cells: DataFrame) -> DataFrame:
+    """:func:`priced_parses` of the cells' candidates."""
+    return priced_parses(candidate_parses(cells))
+
+
 def split_cells(cells: DataFrame) -> DataFrame:
     """The values of every cell that has any: (field_name, rec_id, items), one row per cell.
 
     ``cells`` is a union of :func:`packed_cells`.
     """
-    best = cheapest_dialects(cells).select("field_name", "cell", "choice")
-    packed = cells.where(_packed()).join(best, ["field_name", "cell"], "left").withColumn("choice", F.coalesce("choice", F.lit(0)))
-    plain = cells.where(~_packed()).withColumn("choice", F.lit(0))
-    columns = ["field_name", "rec_id", "cell", "choice"]
-    return packed.select(columns).unionByName(plain.select(columns)).mapInPandas(_parse, _ITEMS)
+    candidates = candidate_parses(cells)
+    best = priced_parses(candidates).select("field_name", "cell", "choice")
+    chosen = candidates.where("options > 1").join(best, ["field_name", "cell", "choice"]).select("field_name", "cell", "items")
+    values = candidates.where("options = 1").select("field_name", "cell", "items").unionByName(chosen)
+    return cells.join(values, ["field_name", "cell"]).select("field_name", "rec_id", "items")
 
 
 def split_packed(cells: DataFrame) -> DataFrame:

@@ -51,7 +51,15 @@ RELEVANT_WORDS = ["dataset", "corpus", "benchmark", "treebank", "collection", "t
 
 
 class RuleProvider:
-    """Deterministic answers from keywords in title and abstract."""
+    """Deterministic answers from keywords in title and abstract, as native expressions (:meth:`columns`) or in batches."""
+
+    def columns(self, stage: str, text: Column) -> list[Column]:
+        """The stage's answer fields; none of them needs Python."""
+        if stage == "metadata":
+            return [rule_column(f, text).alias(f) for f in METADATA_FIELDS]
+        first = F.coalesce(*(F.when(icontains(text, w), w) for w in RELEVANT_WORDS))
+        said = F.coalesce(F.concat(F.lit("mentions "), first), F.lit("mentions no dataset"))
+        return [F.when(first.isNotNull(), "Yes").otherwise("No").alias("is_dataset_paper"), said.alias("skip_reasoning")]
 
     def relevance(self, papers: list[tuple[str, str]]) -> list[dict | None]:
         out = []
@@ -91,6 +99,9 @@ def with_retry(call: Callable[[list], list], papers: list, retries: int = 1, wai
 def answers(df: DataFrame, provider: Provider, stage: str, title: str = "Title", abstract: str = "Abstract", keep: list[str] | None = None) -> DataFrame:
     """The input's columns and the stage's answer fields; a failed answer leaves them null."""
     fields = RELEVANCE_FIELDS if stage == "relevance" else METADATA_FIELDS
+    if type(provider) is RuleProvider:
+        text = F.concat_ws(" ", F.coalesce(F.col(f"`{title}`"), F.lit("")), F.coalesce(F.col(f"`{abstract}`"), F.lit("")))
+        return df.select(*(F.col(f"`{c}`") for c in (keep or df.columns) if c not in fields), *provider.columns(stage, text))
     names = [c for c in (keep or df.columns) if c not in fields]
     schema = StructType([*(df.schema[c] for c in names), *(StructField(f, StringType()) for f in fields)])
 
@@ -119,11 +130,13 @@ def expanded(df: DataFrame, parse: Callable[[dict], list[dict]], schema: StructT
 def enrich(papers: DataFrame, provider: Provider, skip_relevance: bool = False, title: str = "Title", abstract: str = "Abstract") -> DataFrame:
     """Accepted papers with 14 fields, then rejected ones without; records renamed and cleaned.
 
-    The relevance answers are kept before the split, so that no paper is asked twice.
+    A provider's relevance answers are kept before the split, so that no paper is asked twice.
     """
     if skip_relevance:
         return rename_clean(answers(papers, provider, "metadata", title, abstract).withColumn("is_dataset_paper", F.lit("Yes")))
-    asked = materialise(answers(papers, provider, "relevance", title, abstract))
+    asked = answers(papers, provider, "relevance", title, abstract)
+    if type(provider) is not RuleProvider:
+        asked = materialise(asked)
     yes, no = split_yes(asked)
     yes = answers(yes, provider, "metadata", title, abstract).withColumn("is_dataset_paper", F.lit("Yes"))
     return rename_clean(reunion(yes, no))

@@ -148,7 +148,28 @@ add("subset_titles_if_few", lambda s, d: A.subset_titles(read_metadata(s, d), "n
 add("success_rate", lambda s, d: A.success_rate(read_metadata(s, d)), f"SELECT count(*) FILTER (is_dataset_paper = 'Yes')::BIGINT AS hits, count(*)::BIGINT AS total, count(*) FILTER (is_dataset_paper = 'Yes')::DOUBLE / count(*)::DOUBLE * 100.0::DOUBLE AS rate FROM {_meta('is_dataset_paper')}")
 add("macro_avg_scores", lambda s, d: A.macro_mean(table(s, d, "openreview_papers")).select("papers", F.round("mean", 6).alias("mean")), "SELECT count(*)::BIGINT AS papers, round(avg(list_sum(scores)::DOUBLE / len(scores)), 6) AS mean FROM openreview_papers WHERE len(scores) > 0")
 add("kept_removed", lambda s, d: A.kept_removed(table(s, d, "arxiv_results"), R.on_or_before("Publication Date", "2024-06-30")), f"""SELECT count(*)::BIGINT AS total, count(*) FILTER (ok)::BIGINT AS kept, count(*) FILTER (NOT ok)::BIGINT AS removed FROM (SELECT coalesce({_date('"Publication Date"')} <= DATE '2024-06-30', FALSE) AS ok FROM arxiv_results)""")
-add("keyword_share", lambda s, d: table(s, d, "documents").agg((F.try_divide(F.count_if(icontains(F.col("text"), "corpus")), F.count("*")) * 100.0).alias("pct")), "SELECT count(*) FILTER (contains(lower(text), 'corpus'))::DOUBLE / nullif(count(*), 0)::DOUBLE * 100.0::DOUBLE AS pct FROM documents")
+add("llm_share", lambda s, d: A.keyword_share(read_metadata(s, d), "llm_involvement", "LLM"), f"SELECT count(*) FILTER (contains(lower(llm_involvement), 'llm'))::DOUBLE / nullif(count(*), 0)::DOUBLE * 100.0::DOUBLE AS pct FROM {_meta('llm_involvement')}")
+add("has_values", lambda s, d: A.has_values(table(s, d, "openreview_papers"), "venue", "decision", "track"), """SELECT 'venue' AS "column", count(venue) > 0 AS "any" FROM openreview_papers UNION ALL SELECT 'decision', count(decision) > 0 FROM openreview_papers UNION ALL SELECT 'track', FALSE""")
+add("keyword_share", lambda s, d: A.keyword_share(table(s, d, "documents"), "text", "corpus"), "SELECT count(*) FILTER (contains(lower(text), 'corpus'))::DOUBLE / nullif(count(*), 0)::DOUBLE * 100.0::DOUBLE AS pct FROM documents")
+
+# the whole analysis in one pass
+def _report_sql() -> str:
+    columns = [*_entries, *RENAMED.values()]
+    source = f"(SELECT meta_id, {', '.join(f'{_na(c)} AS \"{c}\"' for c in columns)} FROM {META})"
+    share = f"count(*)::DOUBLE / (SELECT count(*) FROM {META})::DOUBLE * 100.0::DOUBLE AS pct"
+    whole = [f"SELECT 'rows' AS section, NULL::VARCHAR AS value, is_dataset_paper FROM {source}"]
+    whole += [f"SELECT '{c}', {c}, is_dataset_paper FROM {source}" for c in SINGLE_VALUE_FIELDS[:-1]]
+    year = f"year({_date('publication_date')})::VARCHAR"
+    whole += [f"SELECT 'year', {year}, is_dataset_paper FROM {source} WHERE {year} IS NOT NULL", f"SELECT 'year with LLM', {year}, is_dataset_paper FROM {source} WHERE {year} IS NOT NULL AND contains(lower(llm_involvement), 'llm')"]
+    whole += [f"SELECT 'classification', CASE WHEN {_YES} THEN 'positive' ELSE 'other' END, is_dataset_paper FROM {source}"]
+    whole += [f"SELECT 'subset', '{k}', is_dataset_paper FROM {source} WHERE {p}" for k, p in _subset_sql.items()]
+    whole += [f"""SELECT 'present', '{c}', is_dataset_paper FROM {source} WHERE "{c}" IS NOT NULL""" for c in ["meta_id", *_entries]]
+    packed = [f"""SELECT '{c}' AS section, {_strip("t")} AS value, is_dataset_paper FROM {source} s, unnest(string_split("{c}", ',')) AS u(t) WHERE "{c}" IS NOT NULL""" for c in MULTI_VALUE_FIELDS]
+    counts = f"section, value, count(*)::BIGINT AS n, count(*) FILTER ({_YES})::BIGINT AS n_accepted"
+    return f"SELECT {counts}, {share} FROM ({' UNION ALL '.join(whole)}) GROUP BY ALL UNION ALL SELECT {counts}, NULL FROM ({' UNION ALL '.join(packed)}) GROUP BY ALL"
+
+
+add("analysis_report", lambda s, d: A.analysis_report(read_metadata(s, d), SINGLE_VALUE_FIELDS, MULTI_VALUE_FIELDS), _report_sql())
 
 # charts (V1-V10)
 _chart_sql = {

@@ -13,10 +13,12 @@ import re
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -51,39 +53,90 @@ def notes_url_column(flat: str, wrapped: str, host: str, year: Column, query_typ
     return F.when(year <= 2017, old("conference")).when(year <= 2023, old("Conference")).otherwise(new)
 
 
+def notes_url(flat: str, wrapped: str, host: str, year: int, query_type: str = "", offset: int = 0, track: str = "") -> str | None:
+    """The address that :func:`notes_url_column` gives, for one request."""
+    if year >= 2024:
+        return f"{wrapped}?content.venueid={host}.cc/{year}/{track or 'Conference' + ('/' + query_type if query_type else '')}&offset={offset}"
+    word = "conference" if year <= 2017 else "Conference"
+    return f"{flat}?invitation={host}.cc%2F{year}%2F{word}%2F-%2F{query_type}&offset={offset}" if query_type else None
+
+
+def forum_url(flat: str, wrapped: str, year: int, forum: str) -> str:
+    """The address of all replies to a paper."""
+    return f"{wrapped if year >= 2024 else flat}?forum={urllib.parse.quote(forum, safe='')}"
+
+
 class FileTransport:
     """Pages saved as ``GROUP-START`` below a folder; a missing file is an empty page. Counts what it serves."""
 
     def __init__(self, folder: str):
         self.folder = Path(folder)
 
+    def path(self, group: str, start: int) -> Path:
+        return self.folder / f"{re.sub(r'[^A-Za-z0-9.]+', '_', group)}-{start}"
+
     def fetch(self, group: str, start: int, url: str) -> str | None:
-        path = self.folder / f"{re.sub(r'[^A-Za-z0-9.]+', '_', group)}-{start}"
+        path = self.path(group, start)
         return path.read_text(encoding="utf-8") if path.exists() else None
 
 
+def rate_limited(text: str | None) -> bool:
+    """Whether an answer is the notice that requests came too fast, which arrives as an ordinary page."""
+    if not text or "RateLimitError" not in text:
+        return False
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return False
+    return isinstance(found, dict) and found.get("name") == "RateLimitError"
+
+
 class HttpTransport:
-    """GET with one retry after a back-off, then a pause; any failure ends the group."""
+    """GET, once more after a back-off if the host asks for one, then a pause; any other failure ends the group."""
 
-    def __init__(self, pause: float, backoff: float = BACKOFF_S):
-        self.pause, self.backoff = pause, backoff
+    def __init__(self, pause: float, backoff: float = BACKOFF_S, get: Callable[[str], str] | None = None):
+        self.pause, self.backoff, self.get = pause, backoff, get or self._get
+
+    @staticmethod
+    def _get(url: str) -> str:
+        with urllib.request.urlopen(url, timeout=60) as r:  # noqa: S310 - the address is an option
+            return r.read().decode()
 
     def fetch(self, group: str, start: int, url: str) -> str | None:
-        for wait in (self.backoff, None):
-            try:
-                with urllib.request.urlopen(url, timeout=60) as r:  # noqa: S310 - the address is an option
-                    return r.read().decode()
-            except Exception:  # noqa: BLE001
-                if wait is None:
-                    return None
-                time.sleep(wait)
-            finally:
-                time.sleep(self.pause)
-        return None
+        try:
+            text = self.get(url)
+            if rate_limited(text):
+                time.sleep(self.backoff)
+                text = self.get(url)
+            return None if rate_limited(text) else text
+        except Exception:  # noqa: BLE001
+            return None
+        finally:
+            time.sleep(self.pause)
+
 
+class ArchiveTransport(FileTransport):
+    """Pages are kept in a folder as they come and read from there afterwards, so a replay gives the same."""
+
+    def __init__(self, folder: str, inner: HttpTransport):
+        super().__init__(folder)
+        self.inner = inner
+
+    def fetch(self, group: str, start: int, url: str) -> str | None:
+        text = super().fetch(group, start, url)
+        if text is None and (text := self.inner.fetch(group, start, url)) is not None:
+            path = self.path(group, start)
+            path.parent.mkdir(parents=True, exist_ok=True)
+            part = path.with_name(f"{path.name}.{uuid.uuid4().hex}")
+            part.write_text(text, encoding="utf-8")
+            part.rename(path)
+        return text
 
-def _transport(spec: str, pause: float) -> FileTransport | HttpTransport:
-    return FileTransport(spec.removeprefix("file:")) if spec.startswith("file:") else HttpTransport(pause)
+
+def _transport(spec: str, pause: float, archive: str = "") -> FileTransport | HttpTransport:
+    if spec.startswith("file:"):
+        return FileTransport(spec.removeprefix("file:"))
+    return ArchiveTransport(archive, HttpTransport(pause)) if archive else HttpTransport(pause)
 
 
 def count_entries(page: str) -> int:
@@ -115,23 +168,27 @@ class _Pages:
         self.size = int(options.get("pageSize", FEED_PAGE if feed else NOTES_PAGE))
         self.cap = int(options.get("rowCap", ROW_CAP))
         self.first, self.last = options.get("startDate", "0001-01-01"), options.get("endDate", "9999-12-31")
-        self.spec, self.parts = options.get("transport", "http"), int(options.get("partitions", 1))
+        self.spec, self.parts, self.archive = options.get("transport", "http"), int(options.get("partitions", 1)), options.get("archive", "")
+        self.flat, self.wrapped, self.host = (options.get(k, "") for k in ("flat", "wrapped", "host"))
         if feed:
             self.groups = options.get("categories", ",".join(CATEGORIES)).split(",")
         else:
             years = range(int(options.get("fromYear", 2017)), int(options.get("toYear", 2025)) + 1)
             kinds = [k for k in options["statuses"].split(",")] if "statuses" in options else QUERY_TYPES
-            self.groups = [f"{y}/{k}" for y in years for k in kinds if k or y >= 2024]
+            tracks = [t for t in options.get("tracks", "").split(",") if t]
+            # a track is asked for by itself, without the statuses, and from the last address form on
+            self.groups = [f"{y}@{t}" for y in years for t in tracks if y >= 2024] if tracks else [f"{y}/{k}" for y in years for k in kinds if k or y >= 2024]
 
     def url(self, group: str, start: int) -> str:
         if self.feed:
             return feed_url(self.base, group, self.first, self.last, start, self.size)
-        return f"{self.base}?group={urllib.parse.quote(group, safe='')}&offset={start}"
+        year, mark, rest = re.fullmatch(r"(\d+)([/@])(.*)", group).groups()
+        return notes_url(self.flat, self.wrapped, self.host, int(year), "" if mark == "@" else rest, start, rest if mark == "@" else "") or ""
 
     def page(self, group: str, start: int) -> tuple[str, int, str, int, str] | None:
         """The page, or None where the group ends: nothing came, it can't be read, or it is empty."""
         url = self.url(group, start)
-        text = _transport(self.spec, FEED_PAUSE_S if self.feed else NOTES_PAUSE_S).fetch(group, start, url)
+        text = _transport(self.spec, FEED_PAUSE_S if self.feed else NOTES_PAUSE_S, self.archive).fetch(group, start, url)
         n = 0 if text is None else count_entries(text) if self.feed else count_notes(text)
         return (group, start, url, n, text) if text is not None and n > 0 else None
 
@@ -156,6 +213,7 @@ class _Reader(DataSourceReader):
         self.pages = pages
 
     def partitions(self) -> list[InputPartition]:
+        # each partition stops at the cap by itself; capped() holds it over all
         n = max(1, min(self.pages.parts, len(self.pages.groups)))
         return [_Groups(self.pages.groups[i::n]) for i in range(n)]
 
@@ -171,17 +229,19 @@ class _Stream(SimpleDataSourceStreamReader):
         self.pages, self.most = pages, most
 
     def initialOffset(self) -> dict:
-        return {"group": 0, "start": 0}
+        return {"group": 0, "start": 0, "total": 0}
 
     def _next(self, at: dict) -> tuple[tuple | None, dict]:
-        g, start = at["group"], at["start"]
-        while g < len(self.pages.groups):
+        g, start, total = at["group"], at["start"], at["total"]
+        while g < len(self.pages.groups) and total < self.pages.cap:
             row = self.pages.page(self.pages.groups[g], start)
             if row:
-                done = self.pages.ends_after(row)
-                return row, {"group": g + 1, "start": 0} if done else {"group": g, "start": start + (row[3] if self.pages.feed else self.pages.size)}
+                total += row[3]
+                if self.pages.ends_after(row):
+                    return row, {"group": g + 1, "start": 0, "total": total}
+                return row, {"group": g, "start": start + (row[3] if self.pages.feed else self.pages.size), "total": total}
             g, start = g + 1, 0
-        return None, {"group": g, "start": start}
+        return None, {"group": g, "start": start, "total": total}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, at = [], start
@@ -236,6 +296,44 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(NotePages)
 
 
-def distinct_requests(requests, key: list[str]):
-    """Each planned request once."""
+def capped(rows: DataFrame, cap: int = ROW_CAP) -> DataFrame:
+    """At most ``cap`` accepted rows over all partitions, as a crawl is bounded: a limit that is the feature."""
+    return rows.limit(cap)
+
+
+def crawl_totals(pages: DataFrame) -> DataFrame:
+    """(pages, items, groups): what a scan has fetched, from its own rows."""
+    return pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum("n_items"), F.lit(0)).cast("long").alias("items"), F.countDistinct("group").alias("groups"))
+
+
+def distinct_requests(requests: DataFrame, key: list[str]) -> DataFrame:
+    """Each planned request once: of several for one key (a fingerprint of address and headers) any one is sent."""
     return requests.dropDuplicates(key)
+
+
+def forum_replies(papers: DataFrame, flat: str = "", wrapped: str = "", transport: str = "http", archive: str = "", partitions: int = 1) -> DataFrame:
+    """(forum, year, notes) of the papers of (id, year): one request a paper, the replies as a JSON list in their order.
+
+    A paper whose request fails has no row. One partition by default, because the host's limit is global.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = _transport(transport, NOTES_PAUSE_S, archive)
+        for b in batches:
+            rows = []
+            for forum, year in zip(b["id"], b["year"], strict=True):
+                text = get.fetch(f"forum {forum}", 0, forum_url(flat, wrapped, int(year), forum))
+                if text is not None and count_notes(text) >= 0:
+                    rows.append((forum, year, json.dumps(json.loads(text).get("notes", []), ensure_ascii=False)))
+            yield pd.DataFrame(rows, columns=["forum", "year", "notes"])
+
+    asked = distinct_requests(papers.where("id IS NOT NULL AND year IS NOT NULL").select("id", F.col("year").cast("int").alias("year")), ["id"])
+    return asked.repartition(partitions).mapInPandas(run, "forum string, year int, notes string")
+
+
+def notes_of_pages(pages: DataFrame) -> DataFrame:
+    """(year, query_type, note): one row a note of the pages of ``note_pages``; a track's notes have no status."""
+    year = F.regexp_extract("group", r"^(\d+)", 1).cast("int")
+    kind = F.when(F.col("group").contains("/"), F.regexp_replace("group", r"^\d+/", "")).otherwise("")
+    notes = F.from_json(F.get_json_object("page", "$.notes"), "array<string>")
+    return pages.select(year.alias("year"), kind.alias("query_type"), F.explode(notes).alias("note"))

@@ -10,10 +10,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from folioscope.plans import reference
+from folioscope.plans import reference, sources
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-CORE = sorted(reference.ORACLE_SQL)
+CORE = sorted(reference.ORACLE_SQL | sources.ORACLE_SQL)
 
 
 def norm(v):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope import schemas, sinks
+from folioscope.operators.resolve import with_decisions
 from folioscope.sources import atom, notes, paged
 from folioscope.sources.tables import nulls_for_na, read_csv
 from folioscope.streaming import jobs
@@ -96,13 +97,68 @@ def test_paged_feed_as_stream(spark, pages, tmp_path):
     assert sorted((r.group, r.start) for r in out.collect()) == [("cs.CL", 0), ("cs.CL", 2), ("cs.IR", 0)]
 
 
+def note_pages(spark, folder, **options):
+    reader = spark.read.format("note_pages").options(transport=f"file:{folder}", flat="http://v1", wrapped="http://v2", host="conf", pageSize="2", **options)
+    return reader.load()
+
+
 def test_paged_notes(spark, tmp_path):
+    """Every status of every year, each at the address of its year, until a page isn't full."""
+    paged.register(spark)
+    full = json.dumps({"notes": [{"id": "a"}, {"id": "b"}]})
+    save(tmp_path, "2024_", 0, full), save(tmp_path, "2024_", 2, json.dumps({"notes": [{"id": "c"}]})), save(tmp_path, "2024_", 4, full)
+    save(tmp_path, "2023_Submission", 0, "broken"), save(tmp_path, "2023_Rejected_Submission", 0, json.dumps({"notes": [{"id": "d"}]}))
+    got = note_pages(spark, tmp_path, fromYear="2023", toYear="2024")
+    assert {(r.group, r.start): r.url for r in got.collect()} == {
+        ("2024/", 0): "http://v2?content.venueid=conf.cc/2024/Conference&offset=0",
+        ("2024/", 2): "http://v2?content.venueid=conf.cc/2024/Conference&offset=2",
+        ("2023/Rejected_Submission", 0): "http://v1?invitation=conf.cc%2F2023%2FConference%2F-%2FRejected_Submission&offset=0",
+    }
+    found = notes.conference_papers(paged.notes_of_pages(got), "f=").select("year", "id", "decision")
+    assert sorted(tuple(r) for r in found.collect()) == [(2023, "d", "Reject"), (2024, "a", ""), (2024, "b", ""), (2024, "c", "")]
+    assert paged.crawl_totals(got).first().asDict() == {"pages": 3, "items": 4, "groups": 2}
+    assert paged.capped(found, 2).count() == 2
+
+
+def test_a_track_is_scanned_without_statuses(spark, tmp_path):
     paged.register(spark)
-    full = json.dumps({"notes": [{}] * 2})
-    save(tmp_path, "2024_", 0, full), save(tmp_path, "2024_", 2, json.dumps({"notes": [{}]})), save(tmp_path, "2024_", 4, full)
-    save(tmp_path, "2023_Submission", 0, "broken")
-    got = spark.read.format("note_pages").option("transport", f"file:{tmp_path}").option("fromYear", "2023").option("toYear", "2024").option("pageSize", "2").load()
-    assert sorted((r.group, r.start, r.n_items) for r in got.collect()) == [("2024/", 0, 2), ("2024/", 2, 1)]
+    save(tmp_path, "2024_Some_Track", 0, json.dumps({"notes": [{"id": "a"}]})), save(tmp_path, "2023_Some_Track", 0, json.dumps({"notes": [{"id": "b"}]}))
+    [row] = note_pages(spark, tmp_path, fromYear="2023", toYear="2024", tracks="Some_Track").collect()
+    assert row.url == "http://v2?content.venueid=conf.cc/2024/Some_Track&offset=0" and row.n_items == 1
+
+
+def test_forum_lookup_feeds_decisions(spark, tmp_path):
+    """One request a paper; a paper without an answer keeps what it has."""
+    save(tmp_path, "forum_a", 0, json.dumps({"notes": [{"content": {"rating": {"value": "8: top"}}}, {"content": {"decision": {"value": "Accept"}}}]}))
+    save(tmp_path, "forum_b", 0, "broken")
+    papers = spark.createDataFrame([("a", 2024, "", [0]), ("a", 2024, "", [0]), ("b", 2024, "Reject", [3]), ("c", 2020, None, None), (None, 2020, None, None)], "id string, year int, decision string, scores array<int>")
+    replies = paged.forum_replies(papers, "http://v1", "http://v2", f"file:{tmp_path}")
+    assert [(r.forum, r.year) for r in replies.collect()] == [("a", 2024)]
+    got = sorted((r.id or "", r.decision, r.scores) for r in with_decisions(papers, replies).collect())
+    assert got == [("", "", []), ("a", "Accept", [8]), ("a", "Accept", [8]), ("b", "Reject", [3]), ("c", "", [])]
+    assert paged.forum_url("1", "2", 2023, "x/y") == "1?forum=x%2Fy" and paged.forum_url("1", "2", 2024, "x") == "2?forum=x"
+
+
+def test_rate_limit_in_the_answer_is_waited_out(tmp_path):
+    limit, page = json.dumps({"name": "RateLimitError", "message": "slow"}), json.dumps({"notes": [{"title": "RateLimitError"}]})
+    asked = []
+
+    def host(*answers):
+        left = list(answers)
+
+        def get(url):
+            asked.append(url)
+            if isinstance(x := left.pop(0), Exception):
+                raise x
+            return x
+
+        return paged.HttpTransport(0, 0, get)
+
+    assert host(limit, page).fetch("g", 0, "u") == page and len(asked) == 2
+    assert host(limit, limit).fetch("g", 0, "u") is None
+    assert host(OSError()).fetch("g", 0, "u") is None
+    kept = paged.ArchiveTransport(str(tmp_path), host(page))
+    assert kept.fetch("g", 0, "u") == kept.fetch("g", 0, "u") == page  # the second comes from the folder
 
 
 def test_notes_addresses(spark):
