@@ -207,6 +207,6 @@ def analysis_report(df: DataFrame, single: list[str], multi: list[str], date_col
     nothing = F.array().cast("array<struct<section:string,value:string>>")
     one = df.select(yes.alias("yes"), F.explode(F.flatten(F.array(*(F.coalesce(p, nothing) for p in pairs)))).alias("p"))
     counts = one.groupBy("p.section", "p.value").agg(F.count("*").alias("n"), F.count_if("yes").alias("n_accepted"))
-    total = counts.where("section = 'rows'").agg(F.max("n")).scalar()
+    total = df.agg(F.count("*")).scalar()  # of the files' footers: no column is read
     whole = F.when(~F.col("section").isin(*multi), pct(F.col("n"), total)) if multi else pct(F.col("n"), total)
     return counts.select("section", "value", "n", "n_accepted", whole.alias("pct"))
