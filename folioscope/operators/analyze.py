@@ -6,7 +6,7 @@ on the map side; percentages use a scalar subquery over the same scan instead of
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,7 +193,7 @@ def analysis_report(df: DataFrame, single: list[str], multi: list[str], date_col
 
     pairs = [F.array(pair("rows", F.lit(None)))]
     pairs += [F.array(pair(c, F.col(f"`{c}`"))) for c in single]
-    pairs += [F.transform(tokens(F.col(f"`{c}`")), lambda x, c=c: pair(c, x)) for c in multi]
+    pairs += [F.transform(tokens(F.col(f"`{c}`")), partial(pair, c)) for c in multi]
     if has(df, date_column):
         year = F.year(date_of(F.col(f"`{date_column}`")))
         pairs.append(F.when(year.isNotNull(), F.array(pair("year", year))))
