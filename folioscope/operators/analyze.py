@@ -73,8 +73,8 @@ def date_of(c: Column) -> Column:
 
 
 def yearly_counts(df: DataFrame, column: str) -> DataFrame:
-    """(year, n) by calendar year; dates that can't be read are left out."""
-    return df.select(F.year(date_of(F.col(f"`{column}`"))).alias("year")).where("year IS NOT NULL").groupBy("year").agg(F.count("*").alias("n"))
+    """(year, n) by calendar year, in its order; dates that can't be read are left out."""
+    return df.select(F.year(date_of(F.col(f"`{column}`"))).alias("year")).where("year IS NOT NULL").groupBy("year").agg(F.count("*").alias("n")).orderBy("year")
 
 
 def share_by_year(df: DataFrame, column: str, matches: Column, zero_fill: bool = False) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
+def stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = None, max_bytes: str | None = None) -> DataFrame:
     """A Parquet table as a stream of its files; a single file is found in its folder by name."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
         return reader.parquet(path)
@@ -54,6 +56,6 @@ def run_available(stream: DataFrame, mode: str = "append", partition_by: list[st
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def append_landing(spark: SparkSession, source: DataFrame, target: str, checkpoint: str, max_bytes: str | None = None) -> None:
+def append_landing(source: DataFrame, target: str, checkpoint: str) -> None:
     """Appends what is new in a landing stream to a Parquet table; files seen before are not read again."""
     source.writeStream.trigger(availableNow=True).outputMode("append").option("checkpointLocation", checkpoint).format("parquet").start(target).awaitTermination()

@@ -207,5 +207,5 @@ def test_landing_is_appended_once(spark, tmp_path):
     for extra in (0, 2):
         if extra:
             spark.range(10, 10 + extra).write.mode("append").parquet(landing)
-        jobs.append_landing(spark, spark.readStream.schema("id long").parquet(landing), str(tmp_path / "out"), str(tmp_path / "cp"))
+        jobs.append_landing(spark.readStream.schema("id long").parquet(landing), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
