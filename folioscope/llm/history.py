@@ -261,7 +261,6 @@ class TitleIndex:
         low, high = (f(F.struct(F.col("n_probe").alias("n"), F.col("probe").alias("w")), F.struct(F.col("n").alias("n"), F.col("word").alias("w"))) for f in (F.least, F.greatest))
         near = near.select(low.alias("x"), high.alias("y"), "edits").select(F.col("x.w").alias("u"), F.col("y.w").alias("v"), "edits", F.col("x.n").alias("nu"), F.col("y.n").alias("nv"))
         s.write("near", near)
-        again = None
         if later:  # older titles one of whose words has a near word now that it may stand for
             gained = s.batch("near", _NEAR).select(F.col("u").alias("word")).distinct()
             again = s.before("titles", _TITLES).select("key", "words", F.explode("words").alias("word")).join(gained, "word", "left_semi").select("key", "words").distinct()
