@@ -10,8 +10,10 @@ word that shares its pairs. One edit is an insertion, deletion, substitution or
 similarity bound is low enough to lose no pair within the edit limit.
 
 Keys: compatibility forms, look-alike letters, case, accents, punctuation and white space are folded.
-A value has further keys with decorations removed, with words turned around, and for what stands
-outside and inside brackets. A word that ends at least half of a field's entries ("only") is optional
+A value has further keys with words turned around, for what stands outside and inside brackets, and without
+remarks. Remarks ("mostly", "role:", "the") are learnt from the values: words before or after
+that, once removed, leave entries' own keys behind, and of at least ``REMARK_SHARE`` of the field's entries, two or more.
+A word that goes with one entry only ("new version, updated release") is no remark. A word that ends at least half of a field's entries ("only") is optional
 in that field. A value cut short with a full stop is matched as a prefix of exactly one entry.
 
 Defined results: missing cells (null, blank, NA tokens) give no rows; a value that equals a canonical
@@ -33,29 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_missing
+from ..session import materialise
 
 JACCARD = 0.4
 MIN_PREFIX = 4
+REMARK_WORDS = 3
+REMARK_SHARE = 0.1
 
 # Cyrillic letters that look like Latin ones.
 LOOK_ALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h"}
-# What people write around a value without changing what it means.
-DECORATIONS = (
-    r"^role\s*:\s*",
-    r"^(?:a|an|the)\s+",
-    r"\(this paper\)",
-    r"\(main\)",
-    r",\s*mostly\s*$",
-    r"\s+domain\s*$",
-    r"\s+texts?\s*$",
-    r"\s*&\s*related\s*$",
-    r"\s+task\s*$",
-    r"^monolingual\s+",
-    r"^just\s+",
-    r"\s+language\s*$",
-)
-
-
 def fold(s: str) -> str:
     """Compatibility forms, case, accents and look-alikes folded."""
     if s.isascii():
@@ -68,20 +56,24 @@ def _words(s: str) -> list[str]:
     return re.findall(r"[^\W_]+", s)
 
 
+def _turned(words: list[str]) -> set[str]:
+    """The words as one key, in their order and turned around."""
+    return {"".join(x) for x in (words, words[1:] + words[:1], words[-1:] + words[:-1], words[::-1])} - {""}
+
+
 def value_keys(value: str) -> set[str]:
     """The keys a typed value may be matched by, letters and digits only."""
     s = " ".join(fold(value).split())
-    plain, forms = s, {s}
-    for d in DECORATIONS:
-        plain = re.sub(d, " ", plain).strip()
-        forms.add(plain)
-    if m := re.match(r"^(.+?)\s*\((.+)\)$", plain):
+    forms = {s}
+    if m := re.match(r"^(.+?)\s*\((.+)\)$", s):
         forms |= {m[1], m[2]}
-    keys = set()
-    for f in forms:
-        w = _words(f)
-        keys |= {"".join(x) for x in (w, w[1:] + w[:1], w[-1:] + w[:-1], w[::-1])}
-    return keys - {""}
+    return {k for f in forms for k in _turned(_words(f))}
+
+
+def affixes(value: str) -> list[tuple[str, str, list[str]]]:
+    """(words before, words after, words left) for up to ``REMARK_WORDS`` words on either side."""
+    w = _words(fold(value))
+    return [(" ".join(w[:i]), " ".join(w[len(w) - j :]), w[i : len(w) - j]) for i in range(REMARK_WORDS + 1) for j in range(REMARK_WORDS + 1) if i + j and i + j < len(w)]
 
 
 def key_tokens(key: str) -> list[str]:
@@ -157,6 +149,37 @@ def _value_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["field_name", "value", "key", "cut", "tokens"])
 
 
+_AFFIXED = "field_name string, value string, before string, after string, key string, words array<string>"
+
+
+def _affixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(f, v, x, y, "".join(w), w) for f, v in zip(b["field_name"], b["value"], strict=True) for x, y, w in affixes(v)]
+        yield pd.DataFrame(rows, columns=["field_name", "value", "before", "after", "key", "words"])
+
+
+def _bare_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(f, v, k, v.rstrip().endswith("."), key_tokens(k)) for f, v, w in zip(b["field_name"], b["value"], b["words"], strict=True) for k in _turned(list(w))]
+        yield pd.DataFrame(rows, columns=["field_name", "value", "key", "cut", "tokens"])
+
+
+def remarkless_keys(values: DataFrame, entries: DataFrame) -> DataFrame:
+    """Keys of the distinct values of (field_name, value) without the remarks around them.
+
+    What stands before, after or around is a remark by the number of different entries whose exact keys it stands beside.
+    """
+    affixed = values.mapInPandas(_affixed, _AFFIXED)
+    around = ["field_name", "before", "after"]
+    beside = affixed.join(entries.select("field_name", "key", "canon_id").distinct(), ["field_name", "key"]).groupBy(*around).agg(F.countDistinct("canon_id").alias("n"))
+    sizes = entries.groupBy("field_name").agg(F.countDistinct("canon_id").alias("of"))
+    remarks = materialise(beside.join(sizes, "field_name").where(F.col("n") >= F.greatest(F.lit(2.0), REMARK_SHARE * F.col("of"))).select(*around))
+    first, last = remarks.where("after = ''").drop("after"), remarks.where("before = ''").drop("before")
+    both = affixed.where("before != '' AND after != ''").join(first, around[:2]).join(last, ["field_name", "after"])
+    bare = affixed.join(remarks, around).unionByName(both).select("field_name", "value", "words").distinct()
+    return bare.mapInPandas(_bare_keys, _KEYS)
+
+
 def _entry_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
@@ -185,8 +208,8 @@ def map_values(cells: DataFrame, canonical: DataFrame, exact: bool = True) -> Da
     if not exact:
         known = canonical.select("field_name", F.col("canon_value").alias("value")).distinct()
         cells = cells.join(known, ["field_name", "value"], "left_anti")
-    keys = cells.select("field_name", "value").distinct().mapInPandas(_value_keys, _KEYS)
-    entries = canonical_entries(canonical)
+    values, entries = materialise(cells.select("field_name", "value").distinct()), materialise(canonical_entries(canonical))
+    keys = materialise(values.mapInPandas(_value_keys, _KEYS).unionByName(remarkless_keys(values, entries)))
     named = entries.groupBy("field_name", "key").agg(F.min("canon_id").alias("canon_id"))
     tokens = "any_value(tokens) AS tokens"
     pairs = set_similarity_join(keys.groupBy("field_name", "key").agg(F.expr(tokens)), entries.groupBy("field_name", "key").agg(F.expr(tokens)), JACCARD)

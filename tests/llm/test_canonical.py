@@ -22,8 +22,12 @@ VALUES = [
     ("task", "Farming", 0),  # an entry of another field
     ("domain", "Gaming", 0),
     ("domain", "the nwes domain", 5),
+    # remarks are learnt from values that are an entry but for them
+    *[("domain", x, c) for x, c in (("the news", 5), ("the farming", 4), ("news domain", 5), ("Farming domain", 4))],
+    *[("lang", x, c) for x, c in (("monolingual English", 6), ("monolingual german", 7), ("just German", 7))],
     ("lang", "monolingual Germn", 7),
     ("lang", "just english", 6),
+    ("lang", "only Latin german", 0),  # words that stand beside one entry are no remark
     ("lang", "Latin only", 0),
     ("lang", "en", 6),
     ("task", "y" * 3000, 0),
