@@ -94,6 +94,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persons.select(F.lit("person").alias("kind"), "*").unionByName(bodies.select(F.lit("body").alias("kind"), "*"))
 
 
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of each spelling that has another one: what the pairs of p5_found come from, a row a spelling."""
+    persons, bodies = names.person_entities(_person_names(spark, sf_dir)), names.body_entities(_body_names(spark, sf_dir))
+    return persons.select(F.lit("person").alias("kind"), "name", "entity").unionByName(bodies.select(F.lit("body").alias("kind"), "name", "entity"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by byte_bpe_50k."""
     return tokens.token_ids(table(spark, sf_dir, "documents"))
@@ -127,7 +133,7 @@ def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.kept_lines(spans.line_units(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared, "p9_lines": p9_lines}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p2_terms": p2_terms, "p2_keywords": p2_keywords, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_entities": p5_entities, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_passages": p9_passages, "p9_shared": p9_shared, "p9_lines": p9_lines}
 
 ORACLE_SQL: dict[str, str] = {
     "p2_keywords": r"""
