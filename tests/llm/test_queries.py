@@ -15,9 +15,11 @@ COLUMNS = {
     "p3_found": ["row_id_a", "row_id_b"],
     "p4_found": ["row_id", "paper_id"],
     "p5_found": ["kind", "name_a", "name_b"],
+    "p5_entities": ["kind", "name", "entity"],
     "p7_ids": ["doc_id", "ids"],
     "p8_containers": ["container_id", "doc_id", "part", "start", "n_tokens", "place"],
     "p9_found": ["doc_id_a", "doc_id_b"],
+    "p9_lines": ["doc_id", "start", "n_chars"],
 }
 
 
