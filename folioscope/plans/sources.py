@@ -5,6 +5,9 @@ The tables are first put into the shape a source delivers, then read by the sour
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -36,6 +39,14 @@ def add(name: str, query, sql: str) -> None:
 _FEED_TEXT = {"Title": "title", "Abstract": "summary", "DOI": "doi", "Comment": "comment", "Journal Reference": "journal_ref"}
 
 
+def _feeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a partition inside one feed element, as a document has one root: the reader ends a file after its first."""
+    line = lambda text: pa.RecordBatch.from_pydict({"value": [text]})
+    yield line("<feed>")
+    yield from batches
+    yield line("</feed>")
+
+
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw records as Atom entries in the shared folder, read from there."""
     # characters that XML can't hold aside, as a feed has none
@@ -45,7 +56,8 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields += [F.struct(F.coalesce(collapse_ws(clean("Primary Category")), F.lit("")).alias("_term")).alias("primary_category")]
     entry = F.regexp_replace(F.to_xml(F.struct(*fields), {"rowTag": "entry"}), r"[\r\n]+", " ")
     path = scratch_path(spark, "feed")
-    table(spark, sf_dir, "arxiv_results").select(entry.alias("value")).write.text(path)
+    # a partition is a file, whatever the session says of records a file
+    table(spark, sf_dir, "arxiv_results").select(entry.alias("value")).mapInArrow(_feeds, "value string").write.option("maxRecordsPerFile", 0).text(path)
     return read_atom(spark, path)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope import schemas, sinks
 from folioscope.operators.resolve import with_decisions
+from folioscope.plans import sources as plans
 from folioscope.sources import atom, notes, paged
 from folioscope.sources.tables import nulls_for_na, read_csv
 from folioscope.streaming import jobs
@@ -35,6 +36,24 @@ def test_feed_to_records(spark, tmp_path):
     assert sorted(r._bad for r in rejects.collect()) == ["affiliation without name", "no title"]
 
 
+def raw_rows(spark, tmp_path, rows, files=1):
+    """A folder with arxiv_results of (url, title) rows."""
+    blank = ["DOI", "Comment", "Journal Reference", "Authors"]
+    df = spark.createDataFrame(rows, "`arXiv URL` string, Title string").repartition(files)
+    df.select("*", F.lit("A < B & C").alias("Abstract"), F.lit("cs.CL").alias("Primary Category"), *(F.lit(None).cast("string").alias(c) for c in blank)).write.parquet(str(tmp_path / "arxiv_results.parquet"))
+    return str(tmp_path)
+
+
+def test_feed_query_reads_every_entry_of_a_file(spark, tmp_path):
+    folder = raw_rows(spark, tmp_path, [(f"http://x/abs/{i}", f"T {i}") for i in range(40)], files=3)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 5)  # must not cut a document
+    try:
+        got = sorted(int(r.paper) for r in plans.QUERIES["feed_entries"](spark, folder).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == list(range(40))
+
+
 def test_last_piece_and_dates(spark):
     df = spark.createDataFrame([("http://x/abs/1v2",), ("plain",), (None,)], "u string")
     assert [r[0] for r in df.select(atom.last_piece(F.col("u"), "/abs/")).collect()] == ["1v2", "plain", ""]
