@@ -54,6 +54,11 @@ def test_feed_query_reads_every_entry_of_a_file(spark, tmp_path):
     assert got == list(range(40))
 
 
+def test_feed_query_rejects_entries_without_title_only(spark, tmp_path):
+    folder = raw_rows(spark, tmp_path, [("http://x/abs/1", "T"), ("http://x/abs/2", " "), ("http://x/abs/3", None), ("http://x/abs/4", "<T> & T")])
+    assert [tuple(r) for r in plans.QUERIES["feed_rejects"](spark, folder).collect()] == [("no title", 2)]
+
+
 def test_last_piece_and_dates(spark):
     df = spark.createDataFrame([("http://x/abs/1v2",), ("plain",), (None,)], "u string")
     assert [r[0] for r in df.select(atom.last_piece(F.col("u"), "/abs/")).collect()] == ["1v2", "plain", ""]
