@@ -57,6 +57,16 @@ def test_segments_meet_whenever_words_are_near(spark, rng):
     assert {(r.probe, r.word) for r in once} == {(x, y) for x, y in want if x < y} and len(once) * 2 == len(want)
 
 
+def test_probes_are_never_broadcast(spark, tmp_path):
+    words = spark.range(200).select(F.concat(F.lit("w"), F.translate(F.format_string("%09d", F.col("id") * 7919), "0123456789", "abcdefghij")).alias("word"))
+    words.write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))  # a small file of which many probes are made
+    near = H.probe_segments(words, H.store_segments(words).withColumn("own", F.lit(True)))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    near.collect()
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def pairs(spark, rows, **kw):
     return {(r.row_id_a, r.row_id_b) for r in H.duplicates(H.same_papers(frame(spark, rows), **kw)).collect()}
 
