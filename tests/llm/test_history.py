@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,14 @@ def test_probes_are_never_broadcast(spark, tmp_path):
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_of_titles_are_never_broadcast(spark):
+    index = H.TitleIndex(spark)
+    index.accept(frame(spark, ROWS + FILLER))
+    bags = index._bags(index.store.all("titles", H._TITLES), index.store.all("words", H._WORDS))
+    assert re.search(r"SortMergeJoin(\(.*\))? \[word#\d+\], \[word#\d+\], Inner", bags._jdf.queryExecution().executedPlan().toString())
+    assert re.search(r"SortMergeJoin(\(.*\))? \[u#\d+, v#\d+\], \[u#\d+, v#\d+\], Inner", index.links()._jdf.queryExecution().executedPlan().toString())
+
+
 def pairs(spark, rows, **kw):
     return {(r.row_id_a, r.row_id_b) for r in H.duplicates(H.same_papers(frame(spark, rows), **kw)).collect()}
 
