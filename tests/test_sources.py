@@ -59,6 +59,13 @@ def test_feed_query_rejects_entries_without_title_only(spark, tmp_path):
     assert [tuple(r) for r in plans.QUERIES["feed_rejects"](spark, folder).collect()] == [("no title", 2)]
 
 
+def test_a_title_of_any_white_space_is_none(spark, tmp_path):
+    blank = ["\u00a0", "\u0085", "\u2028", "\u3000 \u2003", "\x0b\u1680"]
+    folder = raw_rows(spark, tmp_path, [(f"http://x/abs/{i}", t) for i, t in enumerate([*blank, "\u00a0T", "\u200b", "null"])])
+    assert [tuple(r) for r in plans.QUERIES["feed_rejects"](spark, folder).collect()] == [("no title", len(blank))]
+    assert sorted(r.paper for r in plans.QUERIES["feed_entries"](spark, folder).collect()) == ["5", "6", "7"]
+
+
 def test_last_piece_and_dates(spark):
     df = spark.createDataFrame([("http://x/abs/1v2",), ("plain",), (None,)], "u string")
     assert [r[0] for r in df.select(atom.last_piece(F.col("u"), "/abs/")).collect()] == ["1v2", "plain", ""]
