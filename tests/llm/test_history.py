@@ -59,6 +59,14 @@ def test_segments_meet_whenever_words_are_near(spark, rng):
     assert {(r.probe, r.word) for r in once} == {(x, y) for x, y in want if x < y} and len(once) * 2 == len(want)
 
 
+def test_segments_and_probes_as_expressions(spark, rng):
+    words = sorted({"".join(rng.choice("abñ𝒶") for _ in range(rng.randint(3, 14))) for _ in range(200)})
+    df = spark.createDataFrame([(w, 0) for w in words], "word string, letters long")
+    assert {(r.word, r.slot, r.segment) for r in H._stored(df).collect()} == {(w, *x) for w in words for x in H.segments(w, H.word_edits(len(w)))}
+    assert {(r.probe, r.len, r.slot, r.segment) for r in H._probing(df).collect()} == {(w, *x) for w in words for x in H.probes(w)}
+    assert edits("aab", "ccccb", 2) == 3 and edits("xabcy", "xbacy", 1) == 1  # never above the bound and one
+
+
 def test_probes_are_never_broadcast(spark, tmp_path):
     words = spark.range(200).select(F.concat(F.lit("w"), F.translate(F.format_string("%09d", F.col("id") * 7919), "0123456789", "abcdefghij")).alias("word"))
     words.write.parquet(str(tmp_path / "words"))
