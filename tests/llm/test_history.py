@@ -59,6 +59,14 @@ def test_segments_meet_whenever_words_are_near(spark, rng):
     assert {(r.probe, r.word) for r in once} == {(x, y) for x, y in want if x < y} and len(once) * 2 == len(want)
 
 
+def test_words_of_one_batch_are_probed_by_shorter_ones(spark):
+    words = ["abcdefg", "abcdefgh", "abcdefhg", "bcdefg", "abc", "abcd", "unlike"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = H.probe_segments(df, H.store_segments(df).withColumn("own", F.lit(True)), earlier=False).collect()
+    want = {(x, y): H.edits(x, y, 2) for x in words for y in words if x < y and H.edits(x, y, 2) <= min(map(H.word_edits, (len(x), len(y))))}
+    assert {(r.probe, r.word): r.edits for r in got} == want and len(got) == len(want)
+
+
 def test_segments_and_probes_as_expressions(spark, rng):
     words = sorted({"".join(rng.choice("abñ𝒶") for _ in range(rng.randint(3, 14))) for _ in range(200)})
     df = spark.createDataFrame([(w, 0) for w in words], "word string, letters long")
